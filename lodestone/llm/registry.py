@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import queries_tokens
+from lodestone.llm import queries_packing, queries_tokens
 
-QUERIES = {**queries_tokens.QUERIES}
-ORACLES: dict[str, str] = {}
+_MODULES = (queries_packing, queries_tokens)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that a kernel works on at once (one longer text makes a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -18,7 +19,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.frombuffer(pa.compute.binary_length(col).fill_null(0).cast(pa.int64()).buffers()[1], np.int64, n)
+        size = np.frombuffer(pc.binary_length(col).fill_null(0).cast(pa.int64()).buffers()[1], np.int64, n)
         ends = np.cumsum(size)
         at = 0
         while at < n:

@@ -143,4 +143,8 @@ def _rebuilt(text: str, pattern: str, new: str) -> str:
 
 def count_kinds(found: Column) -> list[Column]:
     """A count for each kind, named n_<kind>."""
-    return [F.size(F.filter(found, lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in FORMS]
+    return [F.size(F.array_remove(F.transform(found, _same(kind)), "")).cast("long").alias(f"n_{kind}") for kind in FORMS]
+
+
+def _same(kind: str):
+    return lambda k: F.when(k == kind, k).otherwise("")

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from lodestone.llm import queries_embeddings, queries_language, queries_licenses, queries_minhash, queries_packing, queries_pii, queries_quality, queries_substrings, queries_tokens
+import corpus_pipeline
+from lodestone.llm import (
+    queries_embeddings,
+    queries_language,
+    queries_licenses,
+    queries_minhash,
+    queries_packing,
+    queries_pii,
+    queries_quality,
+    queries_substrings,
+    queries_tokens,
+)
 
-_MODULES = (queries_embeddings, queries_language, queries_licenses, queries_minhash, queries_packing, queries_pii, queries_quality, queries_substrings, queries_tokens)
-QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+_MODULES = (queries_substrings, queries_minhash, queries_packing, queries_language, queries_embeddings, queries_quality, queries_licenses, queries_tokens, queries_pii)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

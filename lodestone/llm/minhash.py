@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import column, slices
@@ -22,6 +22,10 @@ BANDS, ROWS = 40, 6
 #: Agreeing bits of 240 below which a pair is not verified: at 0.8, 216 are expected with deviation 4.6, so
 #: a link is lost with probability under 1e-6.
 AGREE = 193
+#: Turns in which each node is tried against one hub; what they leave apart is tried in full.
+STARS = 2
+#: Members of a bucket that one block holds of each of its two chunks.
+CHUNK = 1024
 _BLOCK = 1 << 16
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -158,9 +162,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def group(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, tkey, n_shingles, comp, component_id for each row; comp and component_id are null for empty sets.
 
-    Equal sets form one class first. A bucket's members are then tried against its least class; what is still
-    apart within a bucket is tried on the nearest pairs, and at last on every pair in different components,
-    each time on full sets. Pairs inside one component are never formed.
+    Equal sets form one class first. In a few turns each class is tried against one hub of its buckets; at last
+    every pair of a bucket that is still in different components is tried, each time on full sets. Pairs inside
+    one component are never formed.
     """
     feats = scratch.save(features(docs, width, bands, rows), "features")
     firsts = [F.first(c).alias(c) for c in ("tkey", "keys", "bits")]
@@ -168,28 +172,25 @@ def group(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80,
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # unique as written
 
     banded = classes.select("node", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = scratch.save(banded.join(buckets, "key"), "members")
     nodes = members.select("node").distinct()
     source = classes.join(nodes, "node").select("node", F.coalesce(F.col("doc_id"), F.lit(0)).alias("kid"), F.col("doc_id").isNull().alias("knull"), "tkey")
     texts = _keyed(docs.select("doc_id", "text")).join(source, ["kid", "knull", "tkey"]).groupBy("kid", "knull", "tkey").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     texts = scratch.save(texts.select("node", "text"), "texts")
 
-    stars = members.where("node != hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
-    links = scratch.save(verify(stars, texts, width, percent), "links")
-    comps = connected(links, scratch)
-
-    apart = _apart(members, classes, comps, percent, scratch)
-    if not apart.isEmpty():
-        near = apart.groupBy(F.col("a"), F.col("cb")).agg(F.max_by("b", "agree").alias("b")).select("a", "b").union(apart.groupBy(F.col("b"), F.col("ca")).agg(F.max_by("a", "agree").alias("a")).select("a", "b")).distinct()
-        more = scratch.save(verify(near, texts, width, percent), "links")
-        links = links.union(more)
+    facts = scratch.save(classes.select("node", "n_shingles", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)]).join(nodes, "node", "left_semi"), "facts")
+    links, comps = None, classes.select("node", F.col("node").alias("comp")).limit(0)
+    for turn in range(STARS):
+        asked = scratch.save(_stars(members, facts, comps, percent, turn), "asked")
+        if asked.isEmpty():
+            break
+        found = scratch.save(verify(asked, texts, width, percent), "links")
+        links = found if links is None else links.union(found)
         comps = connected(links, scratch)
-        where = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"n{c}"))
-        rest = apart.join(where("a"), "a", "left").join(where("b"), "b", "left").where("coalesce(na, a) != coalesce(nb, b)").select("a", "b").join(near, ["a", "b"], "left_anti")
-        last = scratch.save(verify(rest, texts, width, percent), "links")
-        if not last.isEmpty():
-            comps = connected(links.union(last), scratch)
+    rest = scratch.save(_rest(members, facts, comps, texts, width, percent, scratch), "rest")
+    if not rest.isEmpty():
+        comps = connected(rest if links is None else links.union(rest), scratch)
 
     placed = classes.join(comps, "node", "left").select("fp1", "fp2", "n_shingles", "least_id", F.coalesce("comp", "node").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"))
@@ -197,21 +198,124 @@ def group(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80,
     return feats.select("doc_id", "tkey", "n_shingles", "fp1", "fp2").join(placed, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "tkey", "n_shingles", "comp", "component_id")
 
 
-def _apart(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs a, b of one bucket but different components (ca, cb) that sizes and sketches do not rule out, with
-    their agreeing bits. Within a bucket, the members outside its largest component meet all others."""
-    of = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    parts = of.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    facts = classes.select("node", "n_shingles", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)])
-    rows = scratch.save(of.join(mixed, "key").join(facts, "node"), "mixed")
-    side = lambda s: rows.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n_shingles", "b0", "b1", "b2", "b3")])
-    agree = F.lit(256) - sum(F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(4))
+def _agree() -> Column:
+    """Bits of the sketches of x and y that agree, the unused ones included."""
+    return F.lit(256) - sum(F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(4))
+
+
+def _likely(percent: int) -> Column:
+    """What sizes and sketches do not rule out."""
     near = 100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")
-    pairs = side("x").where("comp_x != main").join(side("y").drop("main"), "key").where((F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("main")) | (F.col("comp_x") < F.col("comp_y"))) & near & (agree >= 256 - 240 + AGREE))
-    x_low = F.col("node_x") < F.col("node_y")
-    pick = lambda c, low: F.when(x_low if low else ~x_low, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
-    return scratch.save(pairs.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("comp", True).alias("ca"), pick("comp", False).alias("cb"), agree.alias("agree")).distinct(), "apart")
+    return near & (_agree() >= 256 - 240 + AGREE)
+
+
+def _named(facts: DataFrame, side: str) -> DataFrame:
+    return facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns])
+
+
+def _stars(members: DataFrame, facts: DataFrame, comps: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs a, b to try next: each node with the hub, of all its buckets, that its sketch is nearest to and that is
+    in another component. A bucket's hub is the member that meets most others over all its buckets (an original
+    meets its copies more often than they meet each other), in later turns any."""
+    of = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    size = of.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "size")
+    mixed = of.join(size, "key")
+    if turn % 2 == 0:
+        mixed = mixed.join(mixed.groupBy("node").agg(F.sum("size").alias("worth")), "node")
+    else:
+        mixed = mixed.withColumn("worth", F.xxhash64(F.lit(turn), "key", "node"))
+    hubs = mixed.groupBy("key").agg(F.max_by("node", "worth").alias("hub")).join(mixed.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), ["key", "hub"])
+    pairs = mixed.join(hubs, "key").where("comp != hub_comp").groupBy(F.col("node").alias("node_x"), F.col("hub").alias("node_y")).agg(F.count("*").alias("met"))
+    near = pairs.join(_named(facts, "x"), "node_x").join(_named(facts, "y"), "node_y").where(_likely(percent))
+    best = near.groupBy("node_x").agg(F.max_by("node_y", _agree()).alias("hub"))
+    return best.select(F.greatest("node_x", "hub").alias("a"), F.least("node_x", "hub").alias("b")).distinct()
+
+
+def _complete(batches):
+    """Tables of whole groups (runs of equal key, i, j) from batches sorted so, with the groups' bounds."""
+    held = None
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        return np.concatenate([[0], np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1, [t.num_rows]])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        cut = bounds(t)
+        held = t.slice(cut[-2])
+        if len(cut) > 2:
+            yield t.slice(0, cut[-2]), cut[:-1]
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _block_links(col: pa.Array, comp: np.ndarray, node: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of a block, as many as join what they join: intersections by products of incidence matrices."""
+    text, value, count = shingle_sets(col, width)
+    code = np.unique(value, return_inverse=True)[1]
+    shared = np.bincount(code) > 1
+    keep = shared[code]
+    text, code = text[keep], np.cumsum(shared)[code[keep]] - 1
+    order = np.argsort(code, kind="stable")
+    text, code = text[order], code[order]
+    both = np.zeros((len(count), len(count)), np.float32)
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        lo, hi = np.searchsorted(code, [a, a + 4096])
+        m = np.zeros((len(count), 4096), np.float32)
+        m[text[lo:hi], code[lo:hi] - a] = 1
+        both += m @ m.T
+    label = comp.copy()
+    out = []
+    for x in range(len(count)):
+        size = both[x].astype(np.int64)
+        ok = np.flatnonzero((100 * size >= percent * (count[x] + count - size)) & (count > 0))
+        for other in np.unique(label[ok]):
+            if other != label[x]:
+                y = ok[label[ok] == other][0]
+                out.append((max(node[x], node[y]), min(node[x], node[y])))
+                label[label == other] = label[x]
+    return out
+
+
+def _rest(members: DataFrame, facts: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links a, b between members of one bucket that are still in different components: every pair that sizes and
+    sketches do not rule out is tried on full sets, block against block, and only what joins components comes out.
+
+    A bucket of more than CHUNK members is dealt over blocks by hash; first sketches alone say which members have
+    any likely partner, and only their texts are read.
+    """
+    of = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = of.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    # block (i, j), i <= j, holds chunks i and j
+    dealt = of.join(mixed, "key").withColumn("own", own).withColumn("other", F.explode(every)).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
+    grouped = dealt.join(facts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def likely(batches):
+        for t, cut in _complete(batches):
+            comp, n = t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
+            bits = np.stack([t.column(f"b{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+            some = np.zeros(t.num_rows, bool)
+            for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                for a in range(lo, hi, 256):
+                    x = slice(a, min(a + 256, hi))
+                    agree = 256 - np.bitwise_count(bits[x, None, :] ^ bits[None, lo:hi, :]).sum(2, dtype=np.int64)
+                    ok = (agree >= 256 - 240 + AGREE) & (comp[x, None] != comp[None, lo:hi])
+                    ok &= 100 * np.minimum(n[x, None], n[None, lo:hi]) >= percent * np.maximum(n[x, None], n[None, lo:hi])
+                    some[x] |= ok.any(1)
+            yield from t.filter(pa.array(some)).select(["key", "i", "j", "node", "comp"]).to_batches()
+
+    left = scratch.save(grouped.mapInArrow(likely, "key long, i int, j int, node long, comp long"), "likely")
+
+    def links(batches):
+        for t, cut in _complete(batches):
+            comp, node, text = t.column("comp").to_numpy(), t.column("node").to_numpy(), t.column("text").combine_chunks()
+            out = [p for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False) for p in _block_links(text.slice(lo, hi - lo), comp[lo:hi], node[lo:hi], width, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return left.join(texts, "node").select("key", "i", "j", "node", "comp", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:

@@ -101,17 +101,21 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int =
         seed = k - 31
     every = scratch.save(paths(docs, k, seed), "paths")
     seeds = every.groupBy("seed").agg(F.count("*").alias("c"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("c > 1")
-    met = scratch.save(every.join(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seed"), "met")
+    # written first, so that the join deals both sides anew and can split a seed that a third of all paths have
+    seeds = scratch.save(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seeds")
+    met = scratch.save(every.join(seeds, "seed"), "met")
     edges = met.where("branches").groupBy("seed", "path").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "n")])
     edges = scratch.save(edges, "edges")
     asked = edges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("seed", "path", "start", "n")).alias("asked"))
     windows = scratch.save(path_windows(docs, asked, k), "windows")
     # a window repeats if two paths of its seed hold it; a path met twice repeats whole
     twice = windows.groupBy("seed", "window").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).where("lo != hi").select("seed", "window")
+    twice = scratch.save(twice, "twice")
     marked = windows.join(twice, ["seed", "window"]).groupBy("seed", "path").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
     full = F.expr("shiftleft(1L, n) - 1")
     bits = edges.join(marked, ["seed", "path"], "left").select("seed", "path", F.when(F.col("c") > 1, full).otherwise(F.col("bits")).alias("bits")).where("bits is not null")
     word = lambda b: (F.shiftleft(F.col("start").cast("long"), 32) + b).alias("mark")
+    bits = scratch.save(bits, "bits")
     branching = met.where("branches").join(bits, ["seed", "path"]).select("doc_id", "tkey", word(F.col("bits")))
     plain = met.where("not branches").select("doc_id", "tkey", word(full))
     return plain.union(branching).groupBy("doc_id", "tkey").agg(F.collect_set("mark").alias("marks"))

@@ -28,9 +28,18 @@ def _fresh(spark: SparkSession) -> Scratch:
     return _open[-1]
 
 
-def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
-    """The columns `names`, n_chars (if there) counted anew."""
-    return docs.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """Other columns under neutral names, which clash with no operator's."""
+    return docs.toDF(*[c if c in OWN else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
+def _with_text(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, n_chars (if there) counted anew."""
+    plain = _plain(docs)
+    return done.select(*[F.length("text").cast(plain.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +54,14 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words within passages of 35 words or more that repeat go; texts without them stay as they are."""
-    done = substrings.remove_repeats(docs, _fresh(spark))
-    return _with_text(done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs.columns)
+    done = substrings.remove_repeats(_plain(docs), _fresh(spark))
+    return _with_text(done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to pseudonyms."""
     _fresh(spark)
-    return _with_text(pii.pseudonymise(docs, KEY), docs.columns)
+    return _with_text(pii.pseudonymise(_plain(docs), KEY), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

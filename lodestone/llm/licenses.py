@@ -80,7 +80,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = F.broadcast(template_grams(spark))  # fixed rows, whatever the input
     key = ["kid", "knull", "tkey"]
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(0)).alias("kid"), F.col("doc_id").isNull().alias("knull"), F.xxhash64("text").alias("tkey"), F.expr(words_of("text")).alias("words"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("kid"), F.col("doc_id").isNull().alias("knull"), F.xxhash64("text").alias("tkey"), F.expr(words_of("text")).alias("words"))
     gram = "transform(words, (w, i) -> xxhash64(w, " + ", ".join(f"get(words, i + {j})" for j in range(1, K)) + "))"
     every = rows.select(*key, "words", F.posexplode(F.expr(gram)).alias("pos", "gram"))
     # a hash only proposes; the words themselves decide

@@ -156,7 +156,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("kid", F.coalesce(F.col("doc_id"), F.lit(0))).withColumn("knull", F.col("doc_id").isNull()).withColumn("tkey", F.xxhash64("text"))
+    return docs.withColumn("kid", F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType))).withColumn("knull", F.col("doc_id").isNull()).withColumn("tkey", F.xxhash64("text"))
 
 
 def group(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,7 +175,7 @@ def group(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80,
     buckets = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = scratch.save(banded.join(buckets, "key"), "members")
     nodes = members.select("node").distinct()
-    source = classes.join(nodes, "node").select("node", F.coalesce(F.col("doc_id"), F.lit(0)).alias("kid"), F.col("doc_id").isNull().alias("knull"), "tkey")
+    source = classes.join(nodes, "node").select("node", F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("kid"), F.col("doc_id").isNull().alias("knull"), "tkey")
     texts = _keyed(docs.select("doc_id", "text")).join(source, ["kid", "knull", "tkey"]).groupBy("kid", "knull", "tkey").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     texts = scratch.save(texts.select("node", "text"), "texts")
 
@@ -336,7 +336,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 8
     """The rows of `docs` without near-duplicates: of each component the row of smallest doc_id (of several, that
     of the smallest text hash; of wholly equal rows, one). Texts without words all stay."""
     found = group(docs.select("doc_id", "text"), scratch, width, percent).where("comp is not null")
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("knull"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("kid"), "tkey")).alias("k")).select("k.*")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("knull"), F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("kid"), "tkey")).alias("k")).select("k.*")
     first = scratch.save(first, "first")
     names = docs.columns
     plain = _keyed(docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]))

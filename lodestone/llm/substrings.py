@@ -97,8 +97,7 @@ def pc_lengths(lists: pa.ListArray) -> np.ndarray:
 def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED) -> DataFrame:
     """doc_id, tkey, marks: for each text with repeats, longs of which the low 32 bits mark the repeated windows
     among the 32 from the window that the high bits number."""
-    if k - seed + 1 > 32:
-        seed = k - 31
+    seed = max(min(seed, k), k - 31)  # a path has at most k - seed + 1 windows, a mark 32 bits
     every = scratch.save(paths(docs, k, seed), "paths")
     seeds = every.groupBy("seed").agg(F.count("*").alias("c"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("c > 1")
     # written first, so that the join deals both sides anew and can split a seed that a third of all paths have
@@ -125,10 +124,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SE
     """`docs` with n_words, n_removed, and kept_text: the words left, joined by one blank.
 
     A word goes if a window of k words covers it whose sequence also starts anywhere else, in its own text or
-    another. Every row is a document: wholly equal rows repeat each other. A null text has no words and keeps
-    a null kept_text of none (empty); null ids are matched as equal; texts shorter than k words stay whole;
-    extra columns are carried; an empty table gives no rows.
+    another. Every row is a document: wholly equal rows repeat each other. A null text has no words and
+    an empty kept_text; null ids are matched as equal; texts shorter than k words stay whole; extra columns
+    are carried, but for ones named as the three new ones, which give way; an empty table gives no rows.
     """
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     names = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
     marks = repeated_windows(plain.select("doc_id", "text"), scratch, k, seed)

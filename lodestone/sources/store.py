@@ -193,11 +193,12 @@ class Store:
 
         Returns the directory and the rows; nothing is committed. All rows are checked before any is visible.
         """
-        narrow = batch.withColumn("embedding", F.col("embedding").cast("array<float>"))
+        by = [f"__o{i}" for i in range(len(order or []))]
+        narrow = batch.select(F.col("embedding").cast("array<float>").alias("embedding"), *[F.col(c).alias(o) for c, o in zip(order or [], by, strict=True)])
         require_dimensions(narrow, self.manifest.dimensions)
         name = f"v={self.manifest.version + 1}-{uuid.uuid4().hex[:8]}/vectors"
         scratch = Scratch(self.spark)
-        rows = dense_ids(narrow, self.manifest.node_count, order, scratch)
+        rows = dense_ids(narrow, self.manifest.node_count, by, scratch)
         rows.select("id", "embedding").sortWithinPartitions("id").write.parquet(f"{self.root}/{name}")
         scratch.release()
         return name, self.spark.read.parquet(f"{self.root}/{name}").count()

@@ -22,6 +22,8 @@ FILTERS = 16
 WINDOW = 256
 #: Most labelled documents per language that training reads, and most languages (the most frequent ones).
 TRAIN_PER_LANG, LANGS = 1000, 64
+#: Characters of a labelled document that training draws its windows from, at a place that a hash picks.
+TRAIN_CHARS = 2048
 STEPS, BATCH = 1500, 64
 UNKNOWN = "und"
 
@@ -179,8 +181,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, langs: int = LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of at most about `per_lang` documents of each of the `langs` most frequent languages, by a hash
-    of the text: two scans, no shuffle of texts."""
+    """(span of text, lang) of about `per_lang` documents at most of each of the `langs` most frequent languages, by a
+    hash of the text: two scans, no shuffle of texts, at most 2 * per_lang * langs * TRAIN_CHARS characters."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not counts:
@@ -189,7 +191,7 @@ def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, langs: int = LANGS)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], per_lang / r["count"]).otherwise(share)
     part = (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6) < share
-    found = rows.where(part).select(F.expr("text"), "lang").limit(2 * per_lang * len(counts)).collect()
+    found = rows.where(part).select(F.expr(f"substr(text, cast(1 + pmod(xxhash64(text), greatest(length(text) - {TRAIN_CHARS}, 1)) as int), {TRAIN_CHARS})").alias("text"), "lang").limit(2 * per_lang * len(counts)).collect()
     return sorted((r["text"], r["lang"]) for r in found)
 
 

@@ -37,8 +37,9 @@ ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 MARK = "<|"
 #: Distinct chunks that a worker keeps; beyond, it starts afresh.
 CACHE = 300_000
-#: Entries of the broadcast table of frequent chunks, and candidates that one task may name for it.
-HOT = 20_000
+#: A chunk is frequent if it makes up one in HOT of all, so that there are HOT at most; and candidates that one task
+#: may name.
+HOT = 200_000
 HOT_TASK = 40_000
 
 
@@ -202,7 +203,7 @@ def _whole_counts(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def frequent_chunks(docs: DataFrame, path: str, entries: int = HOT) -> dict[str, int]:
-    """The most frequent chunks over all texts, with their token counts.
+    """The frequent chunks over all texts (one in `entries` or more of those counted), with their token counts.
 
     Each task sums its own texts and names at most HOT_TASK chunks, so what moves is bounded by tasks, not
     by text; a chunk pushed out of one task's list only loses its place in the table, never its count.
@@ -222,16 +223,18 @@ def frequent_chunks(docs: DataFrame, path: str, entries: int = HOT) -> dict[str,
         top = sorted(((c, k) for c, k in seen.items() if len(c) < 64), key=lambda x: -x[1])[:HOT_TASK]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([k for _, k in top], pa.int64())], ["chunk", "n"])
 
-    found = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(entries)
-    names = [r[0] for r in found.select("chunk").collect()]
+    found = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).persist()
+    total = found.agg(F.sum("n")).first()[0] or 0
+    names = [r["chunk"] for r in found.where(F.col("n") * entries >= total).select("chunk").collect()]  # `entries` rows at most
+    found.unpersist()
     return dict(zip(names, (len(x) >> 2 for x in byte_fill(path)(names)), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, hot_entries: int = HOT) -> DataFrame:
     """Tokens of each text: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    A map-side look-up in two tiers: a broadcast table of the `hot_entries` most frequent chunks (a bounded
-    size, whatever the corpus), then the worker's cache, which the library fills on misses. No chunk is
+    A map-side look-up in two tiers: a broadcast table of the frequent chunks (at most `hot_entries`,
+    whatever the corpus), then the worker's cache, which the library fills on misses. No chunk is
     shuffled. `path` names a byte-level tokenizers .json file; other .json files and sentencepiece .model
     files count whole texts.
 

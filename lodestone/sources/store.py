@@ -97,10 +97,9 @@ class Files:
             stream.hsync()
         finally:
             stream.close()
-        gateway = self.jvm
-        rename = gateway.org.apache.hadoop.fs.Options.Rename
-        options = self._array(rename, [rename.OVERWRITE])
-        gateway.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri() if self.path("").isUriPathAbsolute() and self.path("").toUri().getScheme() else self.fs.getUri(), self.conf).rename(self.path(aside), self.path(name), options)
+        hadoop = self.jvm.org.apache.hadoop.fs
+        options = self._array(hadoop.Options.Rename, [hadoop.Options.Rename.OVERWRITE])
+        hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(aside), self.path(name), options)
 
     def _array(self, kind, items):
         from pyspark import SparkContext

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import column
@@ -23,11 +23,11 @@ from lodestone.plans.runtime import Scratch
 TRAIN, PROBE = 20_000, 300
 #: Vectors a cell holds on average, and the bounds of centroids a half.
 PER_CELL, FEWEST, MOST = 200, 2, 1024
-#: Share of the probed vectors' links that the visited cells must hold.
+#: Share of links that the visited cells must hold: of the probed vectors' own, each probe weighing alike, and of
+#: made-up ones at the threshold itself, the farthest there are.
 TARGET = 0.998
-#: Links that the probes must have for that share to be read off; else it is read off made-up links at the threshold
-#: itself, the farthest there are, at this share.
-ENOUGH, FAR_TARGET = 100, 0.95
+#: Made-up links, at least, and numbers that the ranking of cells holds at once.
+FAR, AT_ONCE = 3000, 1 << 22
 #: Rows of one side of a block; a cell with more is dealt over several blocks.
 BLOCK = 2048
 
@@ -84,49 +84,64 @@ class MultiIndex:
     def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The place of a cell in each vector's multi-sequence, from 1."""
         a, b = self.distances(x)
-        every = a[:, :, None] + b[:, None, :]
         own = a[np.arange(len(x)), cells // len(self.second)] + b[np.arange(len(x)), cells % len(self.second)]
-        return 1 + (every < own[:, None, None]).sum((1, 2))
+        out = np.empty(len(x), np.int64)
+        step = max(1, AT_ONCE // (a.shape[1] * b.shape[1]))
+        for k in range(0, len(x), step):
+            part = slice(k, k + step)
+            out[part] = 1 + (a[part, :, None] + b[part, None, :] < own[part, None, None]).sum((1, 2))
+        return out
+
+    def meeting(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many cells the vectors x[i] and y[j] must visit until one of each pair visits the other's cell."""
+        n = len(self.first) * len(self.second)
+
+        def ranks(of: np.ndarray, at: np.ndarray, cells: np.ndarray) -> np.ndarray:
+            keys, back = np.unique(at * n + cells, return_inverse=True)
+            return self.rank(of[keys // n], keys % n)[back]
+
+        return np.minimum(ranks(x, i, self.cells(y)[j]), ranks(y, j, self.cells(x)[i]))
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return col.flatten().to_numpy().reshape(-1, dims)
 
 
-def _sample(classes: DataFrame, total: int, most: int, salt: int) -> np.ndarray | None:
-    """About `most` vectors by a hash of them (all, if fewer)."""
+def _sample(classes: DataFrame, total: int, most: int, salt: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Nodes and vectors of about `most` classes by a hash of the vectors (all, if fewer)."""
     part = F.pmod(F.xxhash64(F.lit(salt), "embedding"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(total, 1)) + 1)
     rows = classes.where(part).select("node", "embedding").limit(2 * most).toArrow()
-    return None if not rows.num_rows else np.array(rows.sort_by("node").column("embedding").to_pylist())
+    rows = rows.sort_by("node")
+    return None if not rows.num_rows else (rows.column("node").to_numpy(), np.array(rows.column("embedding").to_pylist()))
 
 
-def visits(classes: DataFrame, index: MultiIndex, probes: np.ndarray, dims: int, threshold: float, target: float) -> tuple[int, float]:
-    """Cells to visit so that the probes' links, found among all vectors by brute force, are met at `target`;
-    and the share then met."""
+def visits(classes: DataFrame, index: MultiIndex, nodes: np.ndarray, probes: np.ndarray, dims: int, threshold: float, target: float) -> int:
+    """Cells to visit so that `target` of the probes' links to other vectors, found among all by brute force, are
+    met, and as many made-up links at the threshold, in random directions: rare pairs at the threshold are hardly
+    among the probes' own."""
     q = unit(probes)
+    n = len(index.first) * len(index.second)
 
     def run(batches):
         for batch in batches:
             x = unit(_matrix(column(batch, "embedding"), dims))
-            i, j = np.nonzero(q @ x.T >= threshold)
-            places, n = np.unique(index.rank(q[i], index.cells(x)[j]) if len(i) else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(n, pa.int64())], ["place", "n"])
-
-    found = classes.select("embedding").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a row per cell at most
-    n = np.zeros(len(index.first) * len(index.second) + 1)
-    for r in found:
-        n[r["place"]] = r["n"]
-    if n.sum() < ENOUGH:  # too few links to read a share off: made-up neighbours just at the threshold, in random directions
-        rng = np.random.default_rng(3)
-        for _ in range(max(1, 2000 // len(q))):
-            side = rng.normal(size=q.shape)
-            side = unit(side - (side * q).sum(1, keepdims=True) * q) if dims > 1 else np.zeros_like(q)
-            x = unit(threshold * q + (1 - threshold**2) ** 0.5 * side)
-            n += np.bincount(index.rank(q, index.cells(x)), minlength=len(n))
-        target = min(target, FAR_TARGET)
-    share = np.cumsum(n) / n.sum()
-    most = max(1, min(int(np.searchsorted(share, target)), len(n) - 1))
-    return most, float(share[most])
+            i, j = np.nonzero((q @ x.T >= threshold) & (nodes[:, None] != column(batch, "node").to_numpy()[None, :]))
+            keys, count = np.unique(i * (n + 1) + index.meeting(q, x, i, j), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys // (n + 1), pa.int64()), pa.array(keys % (n + 1), pa.int64()), pa.array(count, pa.int64())], ["probe", "place", "n"])
+
+    found = classes.select("node", "embedding").mapInArrow(run, "probe long, place long, n long").groupBy("probe", "place").agg(F.sum("n").alias("n"))
+    alike = found.select("place", (F.col("n") / F.sum("n").over(Window.partitionBy("probe")) * 1e9).cast("long").alias("n"))  # whole numbers, whose sum has no order
+    own = np.zeros(n + 1)
+    for r in alike.groupBy("place").agg(F.sum("n").alias("n")).collect():  # a row per cell at most
+        own[r["place"]] = r["n"]
+    far = np.zeros(n + 1)
+    rng, every = np.random.default_rng(3), np.arange(len(q))
+    for _ in range(-(-FAR // len(q))):
+        side = rng.normal(size=q.shape)
+        side = unit(side - (side * q).sum(1, keepdims=True) * q) if dims > 1 else np.zeros_like(q)
+        x = unit(threshold * q + (1 - threshold**2) ** 0.5 * side)
+        far += np.bincount(index.meeting(q, x, every, every), minlength=n + 1)
+    return max(1, *(min(int(np.searchsorted(np.cumsum(links) / links.sum(), target)), n) for links in (own, far) if links.any()))
 
 
 def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
@@ -137,7 +152,7 @@ def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
     node = table.column("node").to_numpy()[order]
     weight = table.column("weight").to_numpy()[order]
     cell = table.column("own").to_numpy()[order]
-    visited = np.array(table.column("visited").combine_chunks().flatten()).reshape(len(node), -1)[order]
+    visited = np.array(table.column("visited").combine_chunks().flatten()).reshape(n_y, -1)  # the indexed rows' alone, in their order
     x = unit(_matrix(table.column("embedding").combine_chunks(), dims))[order]
     a, b, n = [], [], []
     if 0 < n_y < len(node):
@@ -186,9 +201,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95,
     train = _sample(classes, total, TRAIN, 1)
     if train is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    train, half = unit(train), max(1, dims // 2)
+    train, half = unit(train[1]), max(1, dims // 2)
     index = MultiIndex(kmeans(train[:, :half], k, 1), kmeans(train[:, half:], k, 2) if dims > 1 else np.zeros((1, 0)), half)
-    n_cells, _ = visits(classes, index, _sample(classes, total, PROBE, 2), dims, threshold, target)
+    n_cells = visits(classes, index, *_sample(classes, total, PROBE, 2), dims, threshold, target)
 
     def place(batches):
         for batch in batches:
@@ -205,9 +220,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95,
     dealt = scratch.save(held.join(asking, "cell"), "cells")
     salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = ["node", "weight", "embedding", "own", "visited"]
-    indexed = placed.withColumn("cell", F.col("own")).join(dealt, "cell").select("cell", salt("js").alias("j"), every("is").alias("i"), F.lit(False).alias("query"), *base)
-    queries = placed.withColumn("cell", F.explode("visited")).join(dealt, "cell").select("cell", every("js").alias("j"), salt("is").alias("i"), F.lit(True).alias("query"), *base)
+    base = ["node", "weight", "embedding", "own"]
+    indexed = placed.withColumn("cell", F.col("own")).join(dealt, "cell").select("cell", salt("js").alias("j"), every("is").alias("i"), F.lit(False).alias("query"), *base, "visited")
+    queries = placed.withColumn("cell", F.explode("visited")).join(dealt, "cell").select("cell", every("js").alias("j"), salt("is").alias("i"), F.lit(True).alias("query"), *base, F.expr("cast(array() as array<int>)").alias("visited"))
     met = indexed.unionByName(queries).groupBy("cell", "i", "j").applyInArrow(lambda t: _block(t, dims, threshold), "a long, b long, n long")
     met = scratch.save(met, "links")
     counts = met.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("node"), "n")

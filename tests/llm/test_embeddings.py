@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import embeddings
@@ -81,3 +82,37 @@ def test_recall_on_clusters(spark, scratch):
     for r in embeddings.near_vectors(df, scratch).collect():
         got[r["vec_id"]] = r["n_links"]
     assert (got <= want).all() and got.sum() >= 0.98 * want.sum()
+
+
+def test_recall_of_sparse_pairs_near_the_threshold(spark, scratch):
+    """Few vectors have a near one, at cosine 0.95 to 0.97, and hardly any of those is probed."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 40_000)] + rng.normal(0, 0.6, (40_000, 64))
+    x = embeddings.unit(x)
+    u, cosine = x[:300], rng.uniform(0.951, 0.97, 300)[:, None]
+    side = rng.normal(size=u.shape)
+    side = embeddings.unit(side - (side * u).sum(1, keepdims=True) * u)
+    x = np.concatenate([x, cosine * u + (1 - cosine**2) ** 0.5 * side]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}))
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(df, scratch).where("n_links > 0").collect()}
+    met = [i for i in range(300) if i in got and 40_000 + i in got]
+    assert len(met) >= 0.98 * 300
+    assert all(got[i]["component_id"] == got[40_000 + i]["component_id"] and not got[40_000 + i]["kept"] for i in met)
+    assert len(got) == 2 * len(met)
+
+
+def test_a_probes_own_vector_is_no_link(spark):
+    """One hot group of close vectors does not set the cells that rare pairs need."""
+    rng = np.random.default_rng(5)
+    x = embeddings.unit(rng.normal(size=(3000, 16)))
+    x[:1500] = embeddings.unit(x[0] + rng.normal(0, 0.001, (1500, 16)))
+    index = embeddings.MultiIndex(embeddings.kmeans(x[:, :8], 8, 1), embeddings.kmeans(x[:, 8:], 8, 2), 8)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, embedding array<double>")
+    at = np.arange(0, 3000, 10)
+    n = embeddings.visits(df, index, at, x[at], 16, 0.95, 0.998)
+    side = rng.normal(size=x[1500:].shape)
+    side = embeddings.unit(side - (side * x[1500:]).sum(1, keepdims=True) * x[1500:])
+    y = 0.95 * x[1500:] + (1 - 0.95**2) ** 0.5 * side
+    every = np.arange(1500)
+    assert (index.meeting(x[1500:], y, every, every) <= n).mean() >= 0.98

@@ -14,12 +14,27 @@ from pyspark.sql import functions as F
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,}+",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}+(?![0-9A-Za-z])",
-    "date": r"(?<!\d)(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)",
+    "date": "|".join([
+        r"(?<!\d)(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)",
+        r"(?<!\d)(?<!\d[./])(?:19|20)\d\d(?<y>[./])\d{1,2}\k<y>\d{1,2}(?!\d|[./]\d)",
+        r"(?<!\d)(?<!\d[./])\d{1,2}(?<d>[./])\d{1,2}\k<d>(?:19|20)\d\d(?!\d|[./]\d)",
+        r"(?<!\d)(?<!\d-)\d{1,2}-\d{1,2}-(?:19|20)\d\d(?!\d|-\d)",
+    ]),
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+    "phone": "|".join([
+        r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+        r"(?<![\w+])(?:\+|(?<!\d[.,\-/])00(?!\d{14}))[1-9]\d{0,2}[ .\-/]?(?:\(0\) ?)?\(?\d{1,5}\)?[ .\-/]?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)",
+    ]),
     "ssn": r"(?<![\d\-])\d{3}-\d\d-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)(?<!\d\.)(?:\d{13,19}+|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}+|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
+    "card": r"(?<!\d)(?<!\d\.)(?:\d{13,19}+|\d{4}(?<c>[ \-])\d{4}\k<c>\d{4}\k<c>\d{1,7}+|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
+#: Phone numbers without a country, tried where nothing else matches: an area in brackets; a trunk 0, then pairs, an
+#: area and groups, or digits alone; ten digits as 3-3-4.
+NATIONAL = "|".join([
+    r"(?<!\d)\((?!00|(?:19|20)\d\d\))\d{2,5}\)[ .\-/]?(?:\d{3,4}[ .\-]?\d{3,4}|\d{2,3}(?:[ .\-]\d\d){2,3}|\d{5,8})(?!\w|[.,\-/]\d)",
+    r"(?<![\w+])(?<!\d[.,\-/])(?:0[1-9](?:(?<t>[ .\-])\d\d(?:\k<t>\d\d){3}|\d{1,3}(?: ?[/\-] ?|[ .])\d{3}(?:[ .\-]\d\d){2}|\d{1,3}(?: ?[/\-] ?|[ .])\d{3,4}[ .\-]\d{3,4}|\d{1,4}(?: ?[/\-] ?| )\d{5,8}|\d{8,9})|(?:1[ .\-])?[1-9]\d\d(?<n>[ .\-])\d{3}\k<n>\d{4})(?!\w|[.,\-/]\d)",
+])
+PATTERN = "|".join([*FORMS.values(), NATIONAL])
 ROUNDS = 8
 HEX = "'0123456789abcdef'"
 #: Days that a date may move within: 1900-01-01 to 2099-12-31.
@@ -71,6 +86,11 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 SSN_OK = "(substr({x}, 1, 3) not in ('000', '666') and substr({x}, 1, 1) != '9' and substr({x}, 4, 2) != '00' and substr({x}, 6) != '0000')"
+#: A date's parts p as text that casts to a date, by their order. Where a four-digit year comes last, the month comes
+#: first between slashes, else the day; if no such date exists, the other order is taken ("swapped").
+_AS = {o: f"concat_ws('-', p[{y}], lpad(p[{m}], 2, '0'), lpad(p[{d}], 2, '0'))" for o, (y, m, d) in {"ymd": (0, 1, 2), "dmy": (2, 1, 0), "mdy": (2, 0, 1)}.items()}
+_PARTS = "split(m, '[./-]')"
+_IS = {o: f"try_cast({x} as date) is not null" for o, x in _AS.items()}
 _OCTETS = "transform(split(m, '[.]'), o -> cast(o as int))"
 
 
@@ -79,9 +99,9 @@ def _valid(kind: str) -> str:
     return {
         "email": "true",
         "secret": "m rlike '[0-9]' and m rlike '[a-fA-F]'",
-        "date": "try_cast(m as date) is not null",
+        "date": _let(_PARTS, "p", f"if(length(p[0]) = 4, {_IS['ymd']}, {_IS['dmy']} or {_IS['mdy']})"),
         "ip": f"forall({_OCTETS}, o -> o <= 255)",
-        "phone": f"length({digits}) between 9 and 15",
+        "phone": f"length({digits}) - if(m like '00%', 2, 0) between 9 and 15",
         "ssn": SSN_OK.replace("{x}", digits),
         "card": _let(digits, "q", f"{luhn_sum('q', False)} % 10 = 0 and q rlike '[1-9]'"),
     }[kind]
@@ -95,13 +115,25 @@ def _pseudonym(kind: str, key: str) -> str:
         return _let("lower(m)", "q", feistel("q", 16, key, kind))
     if kind == "date":
         step = feistel("lpad({x}, 5, '0')", 10, key, kind)
-        return f"cast(date_add({DAY0}, cast({walk(f'lpad(cast(datediff(cast(m as date), {DAY0}) as string), 5, {chr(39)}0{chr(39)})', step, f'cast({{x}} as int) < {DAYS}', 60)} as int)) as string)"
+        order = f"case when length(p[0]) = 4 then 'ymd' when contains(m, '/') then if({_IS['mdy']}, 'mdy', 'dmy') else if({_IS['dmy']}, 'dmy', 'mdy') end"
+        swapped = "(o = if(contains(m, '/'), 'dmy', 'mdy'))"  # moves among days past the 12th, which only this order reads
+        old = f"case o when 'ymd' then {_AS['ymd']} when 'dmy' then {_AS['dmy']} else {_AS['mdy']} end"
+        start = f"lpad(cast(datediff(cast({old} as date), {DAY0}) as string), 5, '0')"
+        moved = f"date_add({DAY0}, cast({walk(start, step, f'(cast({{x}} as int) < {DAYS} and (not {swapped} or day(date_add({DAY0}, cast({{x}} as int))) > 12))', 60)} as int))"
+        wide = "if(forall(p, x -> length(x) > 1), 2, 1)"  # days and months get a leading 0 if the old ones have two digits
+        part = {"y": "cast(year(t) as string)", "m": f"lpad(cast(month(t) as string), greatest({wide}, length(cast(month(t) as string))), '0')", "d": f"lpad(cast(day(t) as string), greatest({wide}, length(cast(day(t) as string))), '0')"}
+        shown = "case o " + " ".join(f"when '{o}' then concat_ws(regexp_extract(m, '[./-]', 0), {', '.join(part[c] for c in o)})" for o in _AS) + " end"
+        return _let(_PARTS, "p", _let(order, "o", _let(moved, "t", shown)))
     if kind == "ip":
         number = f"array_join(transform({_OCTETS}, o -> lpad(lower(hex(o)), 2, '0')), '')"
         return _let(feistel(number, 16, key, kind), "z", "array_join(transform(array(1, 3, 5, 7), i -> conv(substr(z, i, 2), 16, 10)), '.')")
     if kind == "phone":
         lead = "regexp_extract(m, '^[+]([0-9]{1,3})', 1)"
-        return _let(f"if(length({lead}) = 3 and length({digits}) < 11, '', {lead})", "c", _let(f"concat(c, {_let(f'substr({digits}, length(c) + 1)', 'q', feistel('q', 10, key, kind))})", "z", _refill("m", "z")))
+        abroad = _let("concat('00', regexp_extract(m, '^00([0-9]{1,3})', 1))", "c", _let(f"concat(c, {_let(f'substr({digits}, length(c) + 1)', 'q', feistel('q', 10, key, kind))})", "z", _refill("m", "z")))
+        # a trunk 0 stays, and the next digit isn't 0 before or after
+        home = _let(f"if({digits} like '0%', '0', '')", "c", _let(f"concat(c, {walk(f'substr({digits}, length(c) + 1)', feistel('{x}', 10, key, kind), '(substr({x}, 1, 1) <> {0})'.replace('{0}', repr('0')), 60)})", "z", _refill("m", "z")))
+        plus = _let(f"if(length({lead}) = 3 and length({digits}) < 11, '', {lead})", "c", _let(f"concat(c, {_let(f'substr({digits}, length(c) + 1)', 'q', feistel('q', 10, key, kind))})", "z", _refill("m", "z")))
+        return f"case when startswith(m, '+') then {plus} when startswith(m, '00') then {abroad} else {home} end"
     if kind == "ssn":
         return _let(walk(digits, feistel("{x}", 10, key, kind), SSN_OK, 60), "z", _refill("m", "z"))
     body = _let(f"substr({digits}, 1, length({digits}) - 1)", "q", feistel("q", 10, key, kind))
@@ -110,7 +142,7 @@ def _pseudonym(kind: str, key: str) -> str:
 
 def _kind() -> str:
     """The kind of a match m, or null where it isn't valid."""
-    shape = {"email": "contains(m, '@')", "phone": "startswith(m, '+')", "ip": "m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$'", "date": "m rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", "ssn": "m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "card": "m rlike '^[0-9]([ -]?[0-9]){12,18}$'", "secret": "m rlike '^[0-9a-fA-F]{32,64}$'"}
+    shape = {"email": "contains(m, '@')", "phone": f"startswith(m, '+') or m rlike {_q('^(?:' + FORMS['phone'] + '|' + NATIONAL + ')$')}", "ip": "m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$'", "date": "m rlike '^([0-9]{4}([./-][0-9]{1,2}){2}|([0-9]{1,2}[./-]){2}[0-9]{4})$'", "ssn": "m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "card": "m rlike '^[0-9]([ -]?[0-9]){12,18}$'", "secret": "m rlike '^[0-9a-fA-F]{32,64}$'"}
     return "case " + " ".join(f"when {shape[k]} then if({_valid(k)}, '{k}', null)" for k in ("email", "phone", "ip", "date", "ssn", "card", "secret")) + " end"
 
 
@@ -123,7 +155,7 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     long one is treated as any other; repeated rows are treated alike; other columns are carried; an empty table
     gives no rows.
     """
-    pattern = _q("|".join(FORMS.values()))
+    pattern = _q(PATTERN)
     text = f"`{column}`"
     hits = f"transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('m', m, 'k', {_kind()}))"
     some = f"{text} rlike '[0-9@]'"  # every form has one of these

@@ -329,6 +329,38 @@ def test_pseudonyms_do_not_collide(spark):
     assert len(set(got)) == 3000 and all("1900" <= t[:4] <= "2099" for t in got)
 
 
+def test_phone_and_date_forms(spark):
+    phones = ["(017) 555-7713", "017-555-7713", "555.123.4567", "555 123 4567", "1-800-555-1234", "030 1234567", "0171/1234567", "01234 567890", "06 12 34 56 78", "01.23.45.67.89", "044 668 18 00", "020 7946 0958", "0612345678", "0033612345678", "0033 6 12 34 56 78", "+33 6 12 34 56 78", "+49 (0)30 1234567", "+41 44 668 18 00"]
+    dates = ["14.03.1985", "03/14/1985", "14/03/1985", "14-03-1985", "4.3.1985", "1985/03/14", "1985.03.14", "03/04/1985"]
+    stay = ["31.02.1985", "13/13/1985", "1.2.3", "978-0-306-40615-7", "(2003) 1234-1245", "555-1234", "3.14159265358979", "1,000,000,000", "12345678", "10.5.2.1999.3"]
+    forms = [*phones, *dates]
+    rows = [(i, f"at {v}, then {v} end") for i, v in enumerate([*forms, *stay])] + [(100, "from 01.02.1985-03.04.1986 on")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, v in enumerate(forms):
+        kind = "phone" if v in phones else "date"
+        assert got[i]["found"] == [kind] * 2, v
+        new = re.fullmatch(r"at (.+), then (.+) end", got[i]["text"])
+        assert new[1] == new[2] != v
+        if v != "4.3.1985":
+            assert re.sub(r"\d", "9", new[1]) == re.sub(r"\d", "9", v)
+    for i, v in enumerate(stay, len(forms)):
+        assert got[i]["found"] == [] and got[i]["text"] == rows[i][1], v
+    assert got[100]["found"] == ["date"] * 2
+    assert all(re.match("at 0", got[i]["text"]) for i, v in enumerate(forms) if v.startswith("0") and v in phones)
+
+
+def test_dates_of_all_forms_do_not_collide(spark):
+    days = spark.sql("select cast(id as long) as doc_id, date_add(date'1984-01-01', cast(id as int)) as d from range(800)")
+    for form in ("dd.MM.yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "d-M-yyyy"):
+        got = [r["text"] for r in pii.pseudonymise(days.selectExpr("doc_id", f"date_format(d, '{form}') as text"), "k").collect()]
+        assert len(set(got)) == 800
+    both = days.selectExpr("doc_id", "date_format(d, 'MM/dd/yyyy') as text").union(days.where("day(d) > 12").selectExpr("doc_id", "date_format(d, 'dd/MM/yyyy') as text"))
+    got = [r["text"] for r in pii.pseudonymise(both, "k").collect()]
+    assert len(set(got)) == len(got)
+    numbers = spark.sql("select cast(id as long) as doc_id, concat(if(id % 2 = 0, '(0', '(4'), cast(id as string), ') 555-0123') as text from range(10, 100)")
+    assert len({r["text"] for r in pii.pseudonymise(numbers, "k").collect()}) == 90
+
+
 def test_awkward_documents_stay_as_they_are(docs, empty):
     done = pii.pseudonymise(docs.drop("found"), "k")
     assert Counter((r["doc_id"], r["text"], r["node"]) for r in done.collect()) == Counter((r["doc_id"], r["text"], r["node"]) for r in docs.collect())

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import column, slices
@@ -20,11 +20,12 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bytes of a window; a window also sees the next bytes up to the widest filter.
 WINDOW = 256
-#: Most labelled documents per language that training reads, and most languages (the most frequent ones).
-TRAIN_PER_LANG, LANGS = 1000, 64
+#: Most labelled documents per language that training reads, and of all languages, each keeping one at least.
+TRAIN_PER_LANG, TRAIN_ROWS = 1000, 64_000
 #: Characters of a labelled document that training draws its windows from, at a place that a hash picks.
 TRAIN_CHARS = 2048
-STEPS, BATCH = 1500, 64
+#: Steps for up to STEP_LANGS languages, and more in proportion.
+STEPS, BATCH, STEP_LANGS = 1500, 64, 64
 UNKNOWN = "und"
 
 
@@ -129,12 +130,15 @@ class ByteCnn:
 
 def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = STEPS) -> ByteCnn:
     """Fit by Adam on random windows of 8 to WINDOW bytes, languages drawn evenly. Deterministic."""
-    names = sorted(set(langs))
+    rows = [(t, g) for t, g in zip(texts, langs, strict=True) if t.strip()]
+    names = sorted({g for _, g in rows} or set(langs))
     rng = np.random.default_rng(seed)
     model = ByteCnn.new(names, rng)
-    rows = [(np.frombuffer(t.encode("utf-8"), np.uint8), names.index(g)) for t, g in zip(texts, langs, strict=True) if t.strip()]
-    by = [[d for d, g in rows if g == k] for k in range(len(names))]
-    if len(names) < 2 or not all(by):
+    of: dict[str, list[np.ndarray]] = {g: [] for g in names}
+    for t, g in rows:
+        of[g].append(np.frombuffer(t.encode("utf-8"), np.uint8))
+    by = list(of.values())
+    if len(names) < 2:
         return model
     params = [*model.taps, model.bias, model.dense, model.offset]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -180,30 +184,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, langs: int = LANGS) -> list[tuple[str, str]]:
-    """(span of text, lang) of about `per_lang` documents at most of each of the `langs` most frequent languages, by a
-    hash of the text: two scans, no shuffle of texts, at most 2 * per_lang * langs * TRAIN_CHARS characters."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """(span of text, lang) of `per_lang` documents at most of every language (fewer where so many languages would
+    make more than `most`, but one at least), by a hash of the text; only texts with letters. Two scans, no shuffle
+    but of about twice those spans; TRAIN_CHARS characters at most of each document."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("draw"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
     if not counts:
         return []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], per_lang / r["count"]).otherwise(share)
-    part = (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6) < share
-    found = rows.where(part).select(F.expr(f"substr(text, cast(1 + pmod(xxhash64(text), greatest(length(text) - {TRAIN_CHARS}, 1)) as int), {TRAIN_CHARS})").alias("text"), "lang").limit(2 * per_lang * len(counts)).collect()
+    per = max(1, min(per_lang, most // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], (2 * per + 20) / r["n"], r["least"]) for r in counts], "lang string, share double, least long")
+    drawn = rows.join(F.broadcast(shares), "lang").where((F.pmod("draw", F.lit(1_000_000)) / 1e6 < F.col("share")) | (F.col("draw") == F.col("least")))
+    span = f"substr(text, cast(1 + pmod(draw, greatest(length(text) - {TRAIN_CHARS}, 1)) as int), {TRAIN_CHARS})"
+    lettered = f"if({span} rlike '\\\\p{{L}}', {span}, substr(text, regexp_instr(text, '\\\\p{{L}}'), {TRAIN_CHARS}))"
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    found = drawn.select(F.expr(lettered).alias("text"), "lang", "draw").withColumn("place", place).where(F.col("place") <= per).collect()
     return sorted((r["text"], r["lang"]) for r in found)
 
 
 def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, by a network trained on a bounded sample of the rows that
-    are not held out.
+    are not held out, with every language that is labelled there.
 
     A null text, or one without letters, is `und` with score 0, as is every text where no language is labelled;
     empty texts likewise. Null ids and repeated rows are predicted as any other; other columns are ignored.
     """
     drawn = sample(docs, per_lang)
-    model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in drawn], [g for _, g in drawn]))  # a fixed size
+    steps = STEPS * max(1, -(-len({g for _, g in drawn}) // STEP_LANGS))
+    model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in drawn], [g for _, g in drawn], steps=steps))  # grows with the languages only
 
     def run(batches):
         net = model.value

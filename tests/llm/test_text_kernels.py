@@ -230,6 +230,22 @@ def test_language_of_held_out_texts(spark, scratch):
     assert by[None]["lang_pred"] == "aa" and by[1003]["lang_pred"] == "bb"
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    letters = {f"l{k:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for k in range(70)}
+    rows = []
+    for g, alphabet in letters.items():
+        for _ in range(20 if g < "l66" else 16):
+            rows.append((len(rows), " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(60)), g))
+    rows += [(9000 + i, " \n", "blank") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert set(got.values()) == {*letters, "und"}
+    rare = [(i, g) for i, _, g in rows if "l66" <= g]
+    assert sum(got[i] == g for i, g in rare) >= 0.9 * len(rare)
+    assert {g for _, g in langid.sample(docs, most=70)} == set(letters)
+
+
 def test_language_without_labels(docs, empty, scratch):
     plain = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in langid.identify(plain).collect()} == {"und"}

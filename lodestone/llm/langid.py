@@ -186,9 +186,9 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_ROWS) -> list[tuple[str, str]]:
     """(span of text, lang) of `per_lang` documents at most of every language (fewer where so many languages would
-    make more than `most`, but one at least), by a hash of the text; only texts with letters. Two scans, no shuffle
+    make more than `most`, but one at least), by a hash of text and id, so that copies come in by their share; only texts with letters. Two scans, no shuffle
     but of about twice those spans; TRAIN_CHARS characters at most of each document."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("draw"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text", "doc_id").alias("draw"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
     if not counts:
         return []

@@ -246,6 +246,15 @@ def test_every_language_is_learned(spark):
     assert {g for _, g in langid.sample(docs, most=70)} == set(letters)
 
 
+def test_copies_are_drawn_by_their_share(spark):
+    rows = [(i, f"copy {'x' * (i % 3)}" if i % 3 else f"text {i}", "aa") for i in range(6000)] + [(6000 + i, "the only text", "bb") for i in range(3000)]
+    rows += [(9000 + i, f"other {i}", "cc") for i in range(300)]
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
+    assert Counter(g for _, g in drawn) == {"aa": 100, "bb": 100, "cc": 100}
+    share = Counter(t for t, g in drawn if g == "aa")
+    assert all(15 <= share[t] <= 52 for t in ("copy x", "copy xx"))
+
+
 def test_language_without_labels(docs, empty, scratch):
     plain = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in langid.identify(plain).collect()} == {"und"}

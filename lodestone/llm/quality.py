@@ -38,9 +38,6 @@ RULES: dict[str, tuple[str, list[float]]] = {
 }
 #: Share of a stratum's good documents that all its rules together may reject, and the chance of any breach.
 ALPHA, DELTA = 0.02, 0.05
-#: Strata with cutoffs of their own: the most labelled languages; all others share one.
-STRATA = 64
-OTHER = "\x00other"
 
 
 def repeated(text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -132,8 +129,8 @@ def choose(good: list[int], bad: list[int], n_good: int, n_bad: int, alpha: floa
     return best
 
 
-def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, strata: int = STRATA) -> dict[str, dict[str, float]]:
-    """Cutoffs of each stratum by rule, from every labelled row of `measured` (doc_id, lang, MEASURES).
+def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
+    """Cutoffs of each stratum by rule (every labelled language is one, null lang another), from every labelled row of `measured` (doc_id, lang, MEASURES).
 
     `labels` has doc_id and quality (1 good, 0 bad; other values and nulls are left out; a doc_id labelled
     twice counts with its lower label). Only counts by stratum, rule and cutoff reach the driver.
@@ -143,12 +140,10 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     step = [F.expr(f"cast({len(cuts)} - size(filter(array({','.join(f'{c}D' for c in cuts)}), c -> {value} > c)) as int)").alias(rule) for rule, (value, cuts) in RULES.items()]
     binned = rows.select("lang", "quality", *step).groupBy("lang", "quality", *RULES).count()  # a map-side sum
     per = binned.select("lang", "quality", "count", F.posexplode(F.array(*RULES)).alias("rule", "bin")).groupBy("lang", "quality", "rule", "bin").agg(F.sum("count").alias("n"))
-    names = [r["lang"] for r in rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(strata).collect()]
-    stratum = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(OTHER) if names else F.lit(OTHER)
     table: dict = defaultdict(lambda: defaultdict(int))
-    for r in per.groupBy(stratum.alias("s"), "quality", "rule", "bin").agg(F.sum("n").alias("n")).collect():  # strata x rules x cutoffs x 2 rows at most
-        table[r["s"], r["rule"]][r["quality"], r["bin"]] += r["n"]
-    out: dict[str, dict[str, float]] = {}
+    for r in per.collect():  # strata x rules x cutoffs x 2 rows at most
+        table[r["lang"], r["rule"]][r["quality"], r["bin"]] += r["n"]
+    out: dict[str | None, dict[str, float]] = {}
     tests = max(1, len(table))
     for (s, i), counts in table.items():
         rule, (_, cuts) = list(RULES.items())[i]
@@ -161,8 +156,8 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     return out
 
 
-def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
-    """Whether a row with lang and MEASURES passes the rules of its stratum and the base rules."""
+def verdict(cutoffs: dict[str | None, dict[str, float]]) -> Column:
+    """Whether a row with lang and MEASURES passes the base rules and those of its stratum, if that has any."""
 
     def fails(rules: dict[str, float]) -> Column:
         out = F.lit(False)
@@ -171,17 +166,17 @@ def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
         return out
 
     by_stratum = F.when(F.lit(False), F.lit(False))
-    for s, rules in sorted(cutoffs.items()):
-        if s != OTHER:
-            by_stratum = by_stratum.when(F.col("lang") == s, fails(rules))
-    return ~base_failed() & ~by_stratum.otherwise(fails(cutoffs.get(OTHER, {})))
+    for s, rules in sorted(cutoffs.items(), key=lambda x: (x[0] is not None, x[0] or "")):
+        if rules:
+            by_stratum = by_stratum.when(F.col("lang").eqNullSafe(F.lit(s)), fails(rules))
+    return ~base_failed() & ~by_stratum.otherwise(F.lit(False))
 
 
 def judge(docs: DataFrame, labels: DataFrame, save, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row.
 
     `save` writes the measurements, so texts are read once. A null text has no words and fails; a null lang
-    shares the stratum of rare ones; a null doc_id is judged but never labelled; repeated rows are judged
+    is a stratum of its own; a null doc_id is judged but never labelled; repeated rows are judged
     alike; other columns are ignored; without enough labels in a stratum only the base rules apply there.
     """
     measured = save(measure(docs, ["doc_id", "lang"]), "measures")

@@ -199,6 +199,23 @@ def test_cutoffs_reject_junk_and_keep_the_good(spark, scratch):
     assert kept.count() == sum(r["kept"] for r in got.values())
 
 
+def test_cutoffs_hold_only_where_labels_prove_them(spark, scratch):
+    """Null lang proves a cutoff of word length for itself, not for a language without labels or with few."""
+    rng = random.Random(7)
+    prose_of = lambda long: " ".join(f"{'long' * 4 if long else 'w'}{rng.randrange(5000)}" for _ in range(30))
+    rows = [(i, prose_of(i % 4 == 0), None) for i in range(4000)]
+    labels = [(i, int(i % 4 != 0)) for i in range(4000)]
+    for k in range(70):  # more languages than there once were strata, five labelled good ones each
+        rows += [(5000 + 10 * k + j, prose_of(False), f"l{k}") for j in range(5)]
+        labels += [(5000 + 10 * k + j, 1) for j in range(5)]
+    rows += [(9000 + i, prose_of(True), "zz") for i in range(20)] + [(9100, prose_of(True), "l69")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, table, scratch.save, alpha=0.1).collect()}
+    assert all(got[i] == (i % 4 != 0) for i in range(4000))
+    assert all(kept for i, kept in got.items() if i >= 5000)
+
+
 def test_quality_of_awkward_documents(docs, empty, rows, spark, scratch):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, labels, scratch.save).collect()

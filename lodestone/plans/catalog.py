@@ -98,9 +98,9 @@ def knn_grid_l2(spark, sf_dir):
 
 @query(_batch_sql("euclidean", "5"))
 def knn_batch_sql(spark, sf_dir):
-    """Pairs as one expression, while the base is small enough to broadcast; beyond, the blockwise plan."""
+    """The blockwise plan at every size, held to the SQL of all pairs."""
     v = vectors(spark, sf_dir)
-    return shown(knn.batch_sql(asking(v), F.broadcast(v), 5) if v.count() <= 10_000 else knn.batch(asking(v), v, 5))
+    return shown(knn.batch(asking(v), v, 5))
 
 
 @query(f"WITH e AS ({_V}), q AS (SELECT v FROM e WHERE id = 0) SELECT row_number() OVER (ORDER BY d, id)::INT AS rank, id, round(d::FLOAT::DOUBLE, 4) AS distance FROM (SELECT b.id, {_D['euclidean']} AS d FROM e b, q)")

@@ -22,6 +22,11 @@ def test_equals_duckdb(spark, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_batch_search_has_no_cross_join(spark):
+    plan = catalog.QUERIES["knn_batch_sql"](spark, SF)._jdf.queryExecution().toString()
+    assert "Join Cross" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_recall_of_approximate_search(spark):
     assert catalog.QUERIES["ann_recall"](spark, SF).first()["recall"] >= 0.95
 

@@ -1,21 +1,67 @@
-"""Connected components by alternating large and small stars, as joins over written tables."""
+"""Connected components: union-find within a task, then alternating large and small stars as joins over written
+tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.runtime import Scratch
 
 
+class UnionFind:
+    """Disjoint sets of whole numbers, each named by its least member."""
+
+    def __init__(self, members: Iterable[int] = ()):
+        self.parent = {int(x): int(x) for x in members}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = parent.setdefault(x, x)
+        while parent[root] != root:
+            parent[root] = parent[parent[root]]
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart; they are together now."""
+        a, b = self.find(int(a)), self.find(int(b))
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """u, v: fewer edges (a, b) of the same components, each node's to the least that its batch of edges leads to."""
+
+    def run(batches):
+        for batch in batches:
+            groups = UnionFind()
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                groups.join(a, b)
+            u = np.array(list(groups.parent), np.int64)
+            v = np.array([groups.find(x) for x in u.tolist()], np.int64)
+            own = u != v
+            yield pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(v[own])], ["u", "v"])
+
+    return edges.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def connected(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """node, comp for every node of `edges` (a, b: longs): comp is the least node reachable.
+    """node, comp for every node of `edges` (a, b: longs, a != b): comp is the least node reachable.
 
-    Each round points every node's greater neighbours, then its lesser ones, to its least neighbour, until
-    nothing moves: a number of rounds logarithmic in the nodes. Neighbours are never gathered; a hub's are
-    joined to its least, and a skewed join splits them.
+    Union-find reduces the edges of each batch to a forest. Then each round points every node's greater
+    neighbours, and its lesser ones, to its least neighbour, until nothing moves: a number of rounds logarithmic in
+    the nodes. Neighbours are never gathered; a hub's are joined to its least, and a skewed join splits them.
     """
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    now = scratch.save(forest(edges).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import column, slices
-from lodestone.llm.components import connected
-from lodestone.llm.words import BASE_RUN, U, Words, mix, prefix, span_hash
+from lodestone.llm.components import UnionFind, connected
+from lodestone.llm.words import U, Words, digest, lanes, mix, run_codes, run_digests, word_digests
 from lodestone.plans.runtime import Scratch
 
 #: Bands x rows: at similarity 0.8 a pair misses every band with probability (1 - 0.8**6)**40 = 5e-6.
@@ -30,26 +30,46 @@ _BLOCK = 1 << 16
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of lower-cased (A-Z) texts, by text: text number, hash, and how many each text has.
+class Shingles:
+    """The distinct shingles of lower-cased (A-Z) texts, by text: text number (`text`), a code that two shingles of
+    the batch share if and only if their words are equal (`code`), and how many each text has (`count`).
 
     A text of fewer than `width` words is one shingle, its whole sequence; one of none has none.
     """
-    w = Words(col, lower=True)
-    h = w.hashes()
-    pre = prefix(h, BASE_RUN)
-    n = np.minimum(w.count, width)
-    starts = np.maximum(w.count - width + 1, (w.count > 0).astype(np.int64))
-    text = np.repeat(np.arange(w.n_texts), starts)
-    at = w.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
-    value = span_hash(pre, at, at + n[text], BASE_RUN) + n[text].astype(U)
-    order = np.argsort(value)
-    order = order[np.argsort(text[order], kind="stable")]
-    text, value = text[order], value[order]
-    fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    text, value = text[fresh], value[fresh]
-    return text, value, np.bincount(text, minlength=w.n_texts)
+
+    def __init__(self, col: pa.Array, width: int):
+        w = Words(col, lower=True)
+        self.words, self.distinct = w.codes()
+        n = np.minimum(w.count, width)
+        starts = np.maximum(w.count - width + 1, (w.count > 0).astype(np.int64))
+        text = np.repeat(np.arange(w.n_texts), starts)
+        at = w.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
+        size = n[text]
+        code, base = np.zeros(len(at), np.int64), 0
+        for x in np.unique(size).tolist():
+            own = np.flatnonzero(size == x)
+            runs = run_codes(self.words, x)[at[own]]
+            if int(runs.max(initial=0)) * w.n_texts > 1 << 61:
+                runs = np.unique(runs, return_inverse=True)[1]
+            code[own] = runs + base
+            base += int(runs.max(initial=0)) + 1
+        if base * max(1, w.n_texts) > 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            base = int(code.max(initial=0)) + 1
+        fresh = np.unique(text * base + code, return_index=True)[1]
+        self.at, self.size = at[fresh], size[fresh]
+        self.text, self.code = text[fresh], code[fresh]
+        self.count = np.bincount(self.text, minlength=w.n_texts)
+
+    def digests(self) -> np.ndarray:
+        """(shingles, 2) lanes, the same in every batch."""
+        words = word_digests(self.distinct)[self.words]
+        out = np.zeros((len(self.at), 2), U)
+        for x in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == x)
+            for lane in (0, 1):
+                out[own, lane] = run_digests(words[:, lane], x, lane)[self.at[own]] + U(x)
+        return out
 
 
 def _rounds(value: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> None:
@@ -123,13 +143,16 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            text, value, count = shingle_sets(column(batch, "text"), width)
-            sig = superminhash(value, count, bands * rows)
+            sets = Shingles(column(batch, "text"), width)
+            count, both = sets.count, sets.digests()
+            sig = superminhash(both[:, 0].copy(), count, bands * rows)
             keys = band_keys(sig, bands, rows).view(np.int64)
-            cut = np.concatenate([[0], np.cumsum(count)])
-            fold = lambda salt: np.diff(np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ U(salt)))])[cut]).view(np.int64)  # noqa: E731, B023
+            # a set's fingerprint: BLAKE2b over its shingles' digests in order
+            both = both[np.lexsort((both[:, 1], both[:, 0], sets.text))]
+            view, cut = memoryview(both.tobytes()), (16 * np.concatenate([[0], np.cumsum(count)])).tolist()
+            prints = lanes([digest(view[a:b]) for a, b in zip(cut, cut[1:], strict=False)]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tkey"), pa.array(count.astype(np.int64)), pa.array(fold(0x1F83D9ABFB41BD6B)), pa.array(fold(0x5BE0CD19137E2179)), lists(keys), lists(sketch(sig))], ["doc_id", "tkey", "n_shingles", "fp1", "fp2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tkey"), pa.array(count.astype(np.int64)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists(keys), lists(sketch(sig))], ["doc_id", "tkey", "n_shingles", "fp1", "fp2", "keys", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, n_shingles long, fp1 long, fp2 long, keys array<long>, bits array<long>")
@@ -140,13 +163,12 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     def run(batches):
         for batch in slices(batches, "text_a", 1 << 19):
-            t1, v1, n1 = shingle_sets(column(batch, "text_a"), width)
-            t2, v2, n2 = shingle_sets(column(batch, "text_b"), width)
-            text, value = np.concatenate([t1, t2]), np.concatenate([v1, v2])
-            order = np.argsort(value)
-            order = order[np.argsort(text[order], kind="stable")]
-            text, value = text[order], value[order]
-            both = np.bincount(text[1:][(value[1:] == value[:-1]) & (text[1:] == text[:-1])], minlength=len(n1))
+            n = batch.num_rows
+            sets = Shingles(pa.concat_arrays([column(batch, "text_a"), column(batch, "text_b")]), width)  # codes of both sides agree
+            n1, n2 = sets.count[:n], sets.count[n:]
+            pair = np.sort((sets.text % n) * (int(sets.code.max(initial=0)) + 1) + sets.code)
+            met = pair[1:][pair[1:] == pair[:-1]]
+            both = np.bincount(met // (int(sets.code.max(initial=0)) + 1), minlength=n)
             ok = pa.array(np.flatnonzero(100 * both >= percent * (n1 + n2 - both)))
             yield pa.RecordBatch.from_arrays([column(batch, "a").take(ok), column(batch, "b").take(ok)], ["a", "b"])
 
@@ -252,8 +274,9 @@ def _complete(batches):
 
 def _block_links(col: pa.Array, comp: np.ndarray, node: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
     """Linked pairs of a block, as many as join what they join: intersections by products of incidence matrices."""
-    text, value, count = shingle_sets(col, width)
-    code = np.unique(value, return_inverse=True)[1]
+    sets = Shingles(col, width)
+    text, count = sets.text, sets.count
+    code = np.unique(sets.code, return_inverse=True)[1]
     shared = np.bincount(code) > 1
     keep = shared[code]
     text, code = text[keep], np.cumsum(shared)[code[keep]] - 1
@@ -265,16 +288,12 @@ def _block_links(col: pa.Array, comp: np.ndarray, node: np.ndarray, width: int,
         m = np.zeros((len(count), 4096), np.float32)
         m[text[lo:hi], code[lo:hi] - a] = 1
         both += m @ m.T
-    label = comp.copy()
     out = []
+    groups = UnionFind(comp)
     for x in range(len(count)):
         size = both[x].astype(np.int64)
         ok = np.flatnonzero((100 * size >= percent * (count[x] + count - size)) & (count > 0))
-        for other in np.unique(label[ok]):
-            if other != label[x]:
-                y = ok[label[ok] == other][0]
-                out.append((max(node[x], node[y]), min(node[x], node[y])))
-                label[label == other] = label[x]
+        out += [(max(node[x], node[y]), min(node[x], node[y])) for y in ok.tolist() if groups.join(comp[x], comp[y])]
     return out
 
 

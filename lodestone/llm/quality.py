@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import slices
-from lodestone.llm.words import BASE_RUN, BASE_WORD, BYTE, Words, mix, prefix, span_hash
+from lodestone.llm.words import Words, coded, run_codes
 
-U = np.uint64
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -40,9 +39,18 @@ RULES: dict[str, tuple[str, list[float]]] = {
 ALPHA, DELTA = 0.02, 0.05
 
 
-def repeated(text: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each item, whether its text holds the value twice or more."""
-    key = mix(value + text.astype(U) * U(0x9E3779B97F4A7C15))
+def _keys(text: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """One code for each text and code of it."""
+    top = int(code.max(initial=0)) + 1
+    if top > (1 << 62) // (int(text.max(initial=0)) + 1):
+        code = np.unique(code, return_inverse=True)[1]
+        top = int(code.max(initial=0)) + 1
+    return text * top + code
+
+
+def repeated(text: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each item, whether its text holds the code twice or more."""
+    key = _keys(text, code)
     order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     out = np.zeros(len(key), bool)
@@ -51,9 +59,8 @@ def repeated(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct_per_text(text: np.ndarray, value: np.ndarray, n_texts: int) -> np.ndarray:
-    key = mix(value + text.astype(U) * U(0x9E3779B97F4A7C15))
-    return np.bincount(text[np.unique(key, return_index=True)[1]], minlength=n_texts)
+def distinct_per_text(text: np.ndarray, code: np.ndarray, n_texts: int) -> np.ndarray:
+    return np.bincount(text[np.unique(_keys(text, code), return_index=True)[1]], minlength=n_texts)
 
 
 def measure_texts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -67,17 +74,18 @@ def measure_texts(col: pa.Array) -> dict[str, np.ndarray]:
     filled = np.diff(np.searchsorted(w.start, np.concatenate([start, [len(w.bytes)]]))) > 0
     start, end = start[filled], breaks[filled]
     text = np.searchsorted(w.text_end, start, "right")
-    pre = prefix(BYTE[w.bytes], BASE_WORD)
     n_lines = np.bincount(text, minlength=w.n_texts)
     out["n_lines"] = n_lines
-    out["n_dup_lines"] = n_lines - distinct_per_text(text, span_hash(pre, start, end, BASE_WORD), w.n_texts)
+    held = np.zeros(len(w.bytes) + 1, np.int64)
+    held[start] += 1
+    held[end] -= 1
+    lines = coded(w.bytes, np.cumsum(held)[:-1] > 0, end - start)[0]  # lines and words are compared as they are, not by hash
+    out["n_dup_lines"] = n_lines - distinct_per_text(text, lines, w.n_texts)
     # words in windows that the text holds twice
-    h = span_hash(pre, w.start, w.end, BASE_WORD)
-    cover = np.zeros(len(h) + 1, np.int64)
-    if len(h) >= WINDOW:
-        runs = prefix(h, BASE_RUN)
-        at = np.flatnonzero(w.text[: len(h) - WINDOW + 1] == w.text[WINDOW - 1 :])
-        twice = at[repeated(w.text[at], span_hash(runs, at, at + WINDOW, BASE_RUN))]
+    cover = np.zeros(len(w.start) + 1, np.int64)
+    if len(w.start) >= WINDOW:
+        at = np.flatnonzero(w.text[: len(w.text) - WINDOW + 1] == w.text[WINDOW - 1 :])
+        twice = at[repeated(w.text[at], run_codes(w.codes()[0], WINDOW)[at])]
         np.add.at(cover, twice, 1)
         np.add.at(cover, twice + WINDOW, -1)
     out["n_repeat_words"] = w.sums(np.cumsum(cover)[:-1] > 0)

@@ -4,7 +4,8 @@ An edge of the graph is a window of k words. Windows are never shuffled one by o
 seed (a shorter run of words) within it, so equal windows meet at equal seeds, and the consecutive windows of a
 text under one seed form a path. A seed met once holds no repeat. A seed whose occurrences all carry the same
 path does not branch: the path repeats as a whole, compacted. Only where paths differ under a seed are they
-taken apart into windows, read again from the source coordinates of one occurrence of each.
+taken apart into windows, read again from the source coordinates of one occurrence of each. A seed's hash only
+brings paths together; what says that paths or windows are the same is BLAKE2b over their words.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import column, slices
-from lodestone.llm.words import BASE_RUN, BASE_SEED, U, Words, mix, prefix, span_hash
+from lodestone.llm.words import U, Words, lanes, mix, run_digests
 from lodestone.plans.runtime import Scratch
 
 K = 35
@@ -36,41 +37,40 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def seed_paths(w: Words, k: int, seed: int) -> tuple[np.ndarray, ...]:
-    """The paths of a batch: text, seed hash, path hash, first window (counted in its text), windows."""
-    h = w.hashes()
-    if len(h) < k:
-        return (np.zeros(0, np.int64),) * 5
-    seeds = prefix(h, BASE_SEED)
-    at = np.arange(len(h) - seed + 1)
-    hashes = span_hash(seeds, at, at + seed, BASE_SEED)
+    """The paths of a batch: text, seed hash, the two halves of the path's digest, first window (counted in its
+    text), windows. The digest is of the path's words and of the place of the seed among them."""
+    none = (np.zeros(0, np.int64),) * 6
+    if len(w.start) < k:
+        return none
+    hashes = run_digests(w.digests()[:, 0], seed, 0)
     low = least(hashes, k - seed + 1)
-    window = np.flatnonzero(w.text[: len(h) - k + 1] == w.text[k - 1 :])
+    window = np.flatnonzero(w.text[: len(w.text) - k + 1] == w.text[k - 1 :])
     if not len(window):
-        return (np.zeros(0, np.int64),) * 5
+        return none
     low = low[window]
     head = np.flatnonzero(np.concatenate([[True], (np.diff(window) != 1) | (np.diff(low) != 0)]))
     start, n, place = window[head], np.diff(np.concatenate([head, [len(window)]])), low[head]
-    runs = prefix(h, BASE_RUN)
-    path = mix(span_hash(runs, start, start + n + k - 1, BASE_RUN) + n.astype(U) * U(0x9E3779B97F4A7C15) + (place - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    path = lanes(w.spans(start, start + n + k - 1))
+    first = mix(path[:, 0] + (place - start).astype(U))
     text = w.text[start]
-    return text, hashes[place].view(np.int64), path.view(np.int64), start - w.first[text], n
+    return text, hashes[place].view(np.int64), first.view(np.int64), path[:, 1].copy().view(np.int64), start - w.first[text], n
 
 
 def paths(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """doc_id, tkey (a hash of the text), seed, path, start, n for every path of every text."""
+    """doc_id, tkey (a hash of the text), seed, path, path2, start, n for every path of every text."""
 
     def run(batches):
         for batch in slices(batches):
-            text, s, p, start, n = seed_paths(Words(column(batch, "text")), k, seed)
+            text, s, p, q, start, n = seed_paths(Words(column(batch, "text")), k, seed)
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(take), column(batch, "tkey").take(take), pa.array(s, pa.int64()), pa.array(p, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "tkey", "seed", "path", "start", "n"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(take), column(batch, "tkey").take(take), *(pa.array(x, pa.int64()) for x in (s, p, q)), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "tkey", "seed", "path", "path2", "start", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, seed long, path long, start int, n int")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, seed long, path long, path2 long, start int, n int")
 
 
 def path_windows(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """seed, path, j, window hash of every window of the paths asked for (doc_id, tkey, asked list)."""
+    """edge, j, and the digest (window, window2) of every window of the paths asked for (doc_id, tkey, asked list)."""
 
     def run(batches):
         for batch in slices(batches):
@@ -78,16 +78,15 @@ def path_windows(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             want = column(batch, "asked")
             text = np.repeat(np.arange(len(want)), pc_lengths(want))
             flat = want.flatten()
-            s, p, start, n = (flat.field(i).to_numpy() for i in range(4))
-            pre = prefix(w.hashes(), BASE_RUN)
+            edge, start, n = (flat.field(i).to_numpy() for i in range(3))
             row = np.repeat(np.arange(len(text)), n)
             j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = (w.first[text] + start)[row] + j
-            h = span_hash(pre, at, at + k, BASE_RUN)
-            yield pa.RecordBatch.from_arrays([pa.array(s[row]), pa.array(p[row]), pa.array(j, pa.int32()), pa.array(h.view(np.int64))], ["seed", "path", "j", "window"])
+            d = lanes(w.spans(at, at + k)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(edge[row]), pa.array(j, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["edge", "j", "window", "window2"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").alias("d").join(asked.alias("a"), F.expr("d.doc_id <=> a.doc_id and d.tkey = a.tkey"))
-    return rows.select("d.text", "a.asked").mapInArrow(run, "seed long, path long, j int, window long")
+    return rows.select("d.text", "a.asked").mapInArrow(run, "edge long, j int, window long, window2 long")
 
 
 def pc_lengths(lists: pa.ListArray) -> np.ndarray:
@@ -99,23 +98,25 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int =
     among the 32 from the window that the high bits number."""
     seed = max(min(seed, k), k - 31)  # a path has at most k - seed + 1 windows, a mark 32 bits
     every = scratch.save(paths(docs, k, seed), "paths")
-    seeds = every.groupBy("seed").agg(F.count("*").alias("c"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("c > 1")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("path", "path2") for f in (F.min, F.max)]
+    seeds = every.groupBy("seed").agg(F.count("*").alias("c"), *ends).where("c > 1")
     # written first, so that the join deals both sides anew and can split a seed that a third of all paths have
-    seeds = scratch.save(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("branches")), "seeds")
+    seeds = scratch.save(seeds.select("seed", F.expr("min_path != max_path or min_path2 != max_path2").alias("branches")), "seeds")
     met = scratch.save(every.join(seeds, "seed"), "met")
-    edges = met.where("branches").groupBy("seed", "path").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "n")])
-    edges = scratch.save(edges, "edges")
-    asked = edges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("seed", "path", "start", "n")).alias("asked"))
+    same = ["seed", "path", "path2"]
+    edges = met.where("branches").groupBy(*same).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "n")])
+    edges = scratch.save(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")  # unique as written
+    asked = edges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("edge", "start", "n")).alias("asked"))
     windows = scratch.save(path_windows(docs, asked, k), "windows")
-    # a window repeats if two paths of its seed hold it; a path met twice repeats whole
-    twice = windows.groupBy("seed", "window").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).where("lo != hi").select("seed", "window")
+    # a window repeats if two paths hold it; a path met twice repeats whole
+    twice = windows.groupBy("window", "window2").agg(F.min("edge").alias("lo"), F.max("edge").alias("hi")).where("lo != hi").select("window", "window2")
     twice = scratch.save(twice, "twice")
-    marked = windows.join(twice, ["seed", "window"]).groupBy("seed", "path").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+    marked = windows.join(twice, ["window", "window2"]).groupBy("edge").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
     full = F.expr("shiftleft(1L, n) - 1")
-    bits = edges.join(marked, ["seed", "path"], "left").select("seed", "path", F.when(F.col("c") > 1, full).otherwise(F.col("bits")).alias("bits")).where("bits is not null")
+    bits = edges.join(marked, "edge", "left").select(*same, F.when(F.col("c") > 1, full).otherwise(F.col("bits")).alias("bits")).where("bits is not null")
     word = lambda b: (F.shiftleft(F.col("start").cast("long"), 32) + b).alias("mark")
     bits = scratch.save(bits, "bits")
-    branching = met.where("branches").join(bits, ["seed", "path"]).select("doc_id", "tkey", word(F.col("bits")))
+    branching = met.where("branches").join(bits, same).select("doc_id", "tkey", word(F.col("bits")))
     plain = met.where("not branches").select("doc_id", "tkey", word(full))
     return plain.union(branching).groupBy("doc_id", "tkey").agg(F.collect_set("mark").alias("marks"))
 

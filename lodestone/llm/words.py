@@ -1,24 +1,27 @@
-"""Words of whole texts as numpy arrays: where they are, and 64-bit hashes of them and of runs of them.
+"""Words of whole texts as numpy arrays: where they are, exact codes of them and of runs of them, and digests.
 
-A word is a maximal run of bytes other than ASCII white space, so of `[^\\x20\\x09-\\x0D]+`. Hashes are
-polynomials over random odd bases modulo 2**64, finished by a mixing step.
+A word is a maximal run of bytes other than ASCII white space, so of `[^\\x20\\x09-\\x0D]+`. Codes number the words
+(or runs) of one batch: equal code, equal words. Digests are BLAKE2b over the words themselves and hold between
+batches.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE_WORD, BASE_RUN, BASE_SEED = (U(int(x) | 1) for x in _rng.integers(1 << 60, 1 << 63, 3, dtype=np.uint64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Odd multipliers of the two lanes that digests of runs have.
+LANES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+#: Words whose digests a worker keeps.
+KEPT = 200_000
+_known: dict[bytes, bytes] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,38 +34,89 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, log: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < 2**log, modulo 2**64."""
-    n, inverse = 1 << log, pow(base, -1, 1 << 64)
-    up, down = np.ones(n, U), np.ones(n, U)
-    for a, b in ((up, base), (down, inverse)):
-        done = 1
-        while done < n:
-            a[done : 2 * done] = a[:done] * U(pow(b, done, 1 << 64))
-            done *= 2
-    return up, down
+def lanes(digests: list[bytes]) -> np.ndarray:
+    """16-byte digests as (n, 2) words."""
+    return np.frombuffer(b"".join(digests), U).reshape(-1, 2)
+
+
+def digest(data: bytes | memoryview) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """(n, 2) lanes of distinct words."""
+    if len(_known) > KEPT:
+        _known.clear()
+    out = []
+    for w in words:
+        d = _known.get(w)
+        if d is None:
+            d = digest(w)
+            if len(w) < 64:
+                _known[w] = d
+        out.append(d)
+    return lanes(out)
+
+
+def _pieces(width: int) -> list[int]:
+    """`width` as a sum of powers of two, the greatest first."""
+    return [1 << b for b in range(width.bit_length() - 1, -1, -1) if width >> b & 1]
+
+
+def _runs(values: np.ndarray, width: int, join) -> np.ndarray:
+    """A value for each run of `width` values, joined two at a time in a tree."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    out, place, of, span = None, 0, {}, 1
+    pieces, h = _pieces(width), values
+    while True:
+        if span in pieces:
+            of[span] = h
+        if span == pieces[0]:
+            break
+        h = join(h[:-span], h[span:])
+        span *= 2
+    for p in pieces:
+        part = of[p][place : place + n]
+        out = part if out is None else join(out, part)
+        place += p
+    return out
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(int(base), max(16, int(n).bit_length()))
-    return up[:n], down[:n]
+def run_digests(values: np.ndarray, width: int, lane: int) -> np.ndarray:
+    """A digest for each run of `width` digests of one lane. Every join is mixed, so that no two orders of the same
+    words, however regular, meet but by chance."""
+    a = LANES[lane]
+    return _runs(values, width, lambda x, y: mix(x * a + y))
 
 
-def prefix(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading 0."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values))[0], out=out[1:])
-    return out
+def run_codes(codes: np.ndarray, width: int) -> np.ndarray:
+    """An exact code for each run of `width` codes: two are equal if and only if the runs are."""
+
+    def join(x, y):
+        top = int(y.max()) + 1 if len(y) else 1
+        if len(x) and int(x.max()) + 1 > (1 << 62) // top:
+            x = np.unique(x, return_inverse=True)[1]
+            if (int(x.max()) + 1) * top > 1 << 62:
+                y = np.unique(y, return_inverse=True)[1]
+                top = int(y.max()) + 1
+        return x * top + y
+
+    return _runs(codes.astype(np.int64), width, join)
 
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of values[start:end] wherever they stand, from their prefix sums."""
-    return mix((pre[end] - pre[start]) * powers(base, len(pre))[1][start])
+def coded(data: np.ndarray, inside: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of strings, and the distinct ones: `inside` marks the bytes of `data` that belong to them, and they
+    stand there one after another in `size` bytes each."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    d = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
 class Words:
-    """The words of a batch of texts (null: none): text number, byte span and hash of each."""
+    """The words of a batch of texts (null: none): text number and byte span of each."""
 
     def __init__(self, col: pa.Array, lower: bool = False):
         rows = [(t or "").encode("utf-8") for t in col.to_pylist()]
@@ -82,9 +136,28 @@ class Words:
         self.text = np.repeat(np.arange(len(rows)), self.count)
         self.inside = inside
 
-    def hashes(self) -> np.ndarray:
-        pre = prefix(BYTE[self.bytes], BASE_WORD)
-        return span_hash(pre, self.start, self.end, BASE_WORD)
+    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+        """A code for each word, and the distinct words."""
+        codes, words = coded(self.bytes, self.inside, self.end - self.start)
+        return codes, words.to_pylist()
+
+    def digests(self) -> np.ndarray:
+        """(words, 2) lanes."""
+        codes, words = self.codes()
+        return word_digests(words)[codes]
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Digests of the words from `first` to before `last` of each run, one blank between words: of the words
+        themselves, whatever stood between them."""
+        held = self.inside.copy()
+        if len(self.end):
+            held[self.end] = True  # one byte after each word
+        data = np.where(self.inside, self.bytes, np.uint8(32))[held].tobytes()
+        ends = np.cumsum(self.end - self.start + 1)
+        a = (ends - (self.end - self.start + 1))[first].tolist()
+        b = (ends[last - 1] - 1).tolist()
+        view = memoryview(data)
+        return [digest(view[i:j]) for i, j in zip(a, b, strict=True)]
 
     def sums(self, per_word: np.ndarray) -> np.ndarray:
         """Sum of a value per word, by text."""

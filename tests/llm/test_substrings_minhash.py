@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import components, minhash, substrings
+from lodestone.llm import components, minhash, quality, substrings, words
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -137,9 +137,49 @@ def test_signature_does_not_depend_on_blocks():
 
 
 def test_shingles_of_short_texts():
-    text, _, count = minhash.shingle_sets(pa.array(["a b c", "A b", "a", "", None, "a a a a"]), 2)
-    assert count.tolist() == [2, 1, 1, 0, 0, 1]
-    assert text.tolist() == [0, 0, 1, 2, 5]
+    sets = minhash.Shingles(pa.array(["a b c", "A b", "a", "", None, "a a a a"]), 2)
+    assert sets.count.tolist() == [2, 1, 1, 0, 0, 1]
+    assert sets.text.tolist() == [0, 0, 1, 2, 5]
+    assert len(set(sets.code.tolist())) == 4
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, scratch):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2**64."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rest = " ".join(f"p{i}" for i in range(34))
+    texts = [f"{rest} {x}", f"{rest} {y}", x, y]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs, scratch).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0}
+    same = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id > 1"), scratch, 2).collect()}
+    assert same == {2: 2, 3: 3}
+    line = pa.array([f"{x}\n{y}\n{x}"])
+    assert quality.measure_texts(line)["n_dup_lines"].tolist() == [1]
+
+
+def test_links_need_equal_words_whatever_the_digests(spark, scratch, monkeypatch):
+    """With digests that meet all the time, signatures propose too much; full sets of words decide."""
+    monkeypatch.setattr(minhash, "superminhash", lambda value, count, m: np.ones((len(count), m), np.uint64))
+    texts = pa.array(["a b c d e", "a b c d e f", "v w x y z"])
+    node, comp = np.arange(3), np.arange(3)
+    assert minhash._block_links(texts, comp, node, 2, 80) == [(1, 0)]
+    assert minhash._block_links(texts, comp, node, 2, 81) == []
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 35])
+def test_run_codes_and_digests_tell_runs_apart(width):
+    rng = np.random.default_rng(width)
+    for top in (2, 50, 2**40):
+        codes = rng.integers(0, top, 400)
+        runs = [tuple(codes[i : i + width].tolist()) for i in range(len(codes) - width + 1)]
+        exact = words.run_codes(codes, width).tolist()
+        assert len(set(runs)) == len(set(exact)) == len(set(zip(runs, exact, strict=True)))
+        digests = words.run_digests(words.mix(codes.astype(np.uint64)), width, 1).tolist()
+        assert len(set(runs)) == len(set(digests)) == len(set(zip(runs, digests, strict=True)))
 
 
 def test_components_of_a_chain_and_a_star(spark, scratch):

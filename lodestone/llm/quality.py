@@ -1,7 +1,10 @@
 """Document quality: rule measurements of whole texts, and cutoffs whose false rejections are bounded.
 
-A cutoff is used in a stratum (a language) only if the labelled documents there prove, by an exact binomial
-bound corrected for every test made, that it rejects at most a fixed share of good documents.
+Labelled documents fall into two halves by a hash of their id. One half proposes, for each stratum (a language), a
+ladder of cutoffs of all rules, each step rejecting all that the one before does. The other half, the holdout, is
+asked step by step whether the rules together reject at most a fixed share of good documents: an exact binomial
+bound, at a level divided by the strata that are tested. The first step that fails ends the ladder (a fixed
+sequence needs no further correction), and the last that passed is used. Without a pass, no cutoff is.
 """
 
 from __future__ import annotations
@@ -35,8 +38,13 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "upper": ("n_upper / greatest(word_chars, 1)", [x / 64 for x in range(64, 0, -1)]),
     "punct": ("n_punct / greatest(word_chars, 1)", [x / 64 for x in range(64, 0, -1)]),
 }
-#: Share of a stratum's good documents that all its rules together may reject, and the chance of any breach.
+#: Share of a stratum's good documents (of those that pass the base rules) that all its rules together may reject,
+#: and the chance of a breach in any stratum.
 ALPHA, DELTA = 0.02, 0.05
+#: Steps of a ladder: on the proposing half, a rule of step i rejects up to i / (STEPS - 1) of ALPHA.
+STEPS = 8
+#: What the share of good documents that a cutoff rejects weighs against the share of bad ones.
+PRICE = 20
 
 
 def _keys(text: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -121,63 +129,79 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose(good: list[int], bad: list[int], n_good: int, n_bad: int, alpha: float, delta: float) -> int | None:
-    """The cutoff to use, or None: good and bad count the documents that each cutoff rejects, most lenient first.
+def ladder(good: list[int], bad: list[int], n_good: int, n_bad: int, alpha: float, steps: int = STEPS) -> list[int]:
+    """The cutoff of one rule at each step (-1: none yet), never more lenient than the step before. good and bad count
+    the documents of the proposing half that each cutoff rejects, most lenient first."""
+    worth = [b / max(n_bad, 1) - PRICE * g / max(n_good, 1) for g, b in zip(good, bad, strict=True)]
+    out, at = [], -1
+    for i in range(steps):
+        room = alpha * n_good * i / max(steps - 1, 1)
+        best = max((j for j, g in enumerate(good) if g <= room), key=lambda j: worth[j], default=-1)
+        if best > at and worth[best] > 0:
+            at = best
+        out.append(at)
+    return out
 
-    Cutoffs are tested in that order at level delta until one fails, so all that passed hold together with
-    probability 1 - delta. Of them, the one that rejects most bad documents for its good ones is used.
-    """
-    best, worth = None, 0.0
-    for i, (g, b) in enumerate(zip(good, bad, strict=True)):
-        if g >= alpha * n_good or binomial_tail(g, n_good, alpha) > delta:
-            break
-        value = b / max(n_bad, 1) - 20 * g / max(n_good, 1)
-        if value > worth + 1e-12:
-            best, worth = i, value
-    return best
+
+def passed(rejected: list[int], n_good: int, alpha: float, level: float) -> int:
+    """How many steps the holdout confirms, in order, until one fails: rejected counts its good documents by step."""
+    for i, k in enumerate(rejected):
+        if binomial_tail(k, n_good, alpha) > level:
+            return i
+    return len(rejected)
+
+
+def in_holdout(doc_id: Column) -> Column:
+    return F.crc32(F.concat(F.lit("holdout "), doc_id.cast("string")).cast("binary")) % 2 == 1
 
 
-def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
+def learn_cutoffs(measured: DataFrame, labels: DataFrame, save, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
     """Cutoffs of each stratum by rule (every labelled language is one, null lang another), from every labelled row of `measured` (doc_id, lang, MEASURES).
 
     `labels` has doc_id and quality (1 good, 0 bad; other values and nulls are left out; a doc_id labelled
-    twice counts with its lower label). Only counts by stratum, rule and cutoff reach the driver.
+    twice counts with its lower label). `save` writes the labelled rows' bins. Only counts by stratum, rule and
+    cutoff, then by stratum and step, reach the driver.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = measured.where(~base_failed()).join(marked, "doc_id")
+    rows = measured.where(~base_failed()).join(marked, "doc_id").withColumn("holdout", in_holdout(F.col("doc_id")))
     step = [F.expr(f"cast({len(cuts)} - size(filter(array({','.join(f'{c}D' for c in cuts)}), c -> {value} > c)) as int)").alias(rule) for rule, (value, cuts) in RULES.items()]
-    binned = rows.select("lang", "quality", *step).groupBy("lang", "quality", *RULES).count()  # a map-side sum
-    per = binned.select("lang", "quality", "count", F.posexplode(F.array(*RULES)).alias("rule", "bin")).groupBy("lang", "quality", "rule", "bin").agg(F.sum("count").alias("n"))
+    binned = save(rows.select("lang", "quality", "holdout", *step).groupBy("lang", "quality", "holdout", *RULES).count(), "bins")  # a map-side sum
+    per = binned.where("not holdout").select("lang", "quality", "count", F.posexplode(F.array(*RULES)).alias("rule", "bin")).groupBy("lang", "quality", "rule", "bin").agg(F.sum("count").alias("n"))
     table: dict = defaultdict(lambda: defaultdict(int))
     for r in per.collect():  # strata x rules x cutoffs x 2 rows at most
         table[r["lang"], r["rule"]][r["quality"], r["bin"]] += r["n"]
-    out: dict[str | None, dict[str, float]] = {}
-    tests = max(1, len(table))
+    ladders: dict[str | None, dict[str, list[int]]] = defaultdict(dict)
     for (s, i), counts in table.items():
         rule, (_, cuts) = list(RULES.items())[i]
         above = [[sum(n for (q, b), n in counts.items() if q == quality and b <= j) for j in range(len(cuts))] for quality in (1, 0)]
         n_good, n_bad = (sum(n for (q, _), n in counts.items() if q == quality) for quality in (1, 0))
-        at = choose(above[0], above[1], n_good, n_bad, alpha / len(RULES), delta / tests)
-        out.setdefault(s, {})
-        if at is not None:
-            out[s][rule] = cuts[at]
+        ladders[s][rule] = ladder(above[0], above[1], n_good, n_bad, alpha)
+    asked = {s: [{rule: steps[i] for rule, steps in by.items()} for i in range(STEPS)] for s, by in ladders.items() if any(x >= 0 for steps in by.values() for x in steps)}
+    if not asked:
+        return {}
+    kind = f"array<struct<{', '.join(f'{rule}: int' for rule in RULES)}>>"
+    climbs = measured.sparkSession.createDataFrame([(s, [tuple(x[rule] for rule in RULES) for x in steps]) for s, steps in asked.items()], f"stratum string, steps {kind}")
+    falls = "array_position(transform(steps, x -> " + " or ".join(f"{rule} <= x.{rule}" for rule in RULES) + "), true)"  # from 1; 0: at no step
+    held = binned.where("holdout and quality = 1").join(F.broadcast(climbs), F.expr("lang <=> stratum"))  # a row per labelled language
+    found: dict = defaultdict(lambda: [0] * (STEPS + 1))
+    for r in held.groupBy("stratum", F.expr(falls).cast("int").alias("falls")).agg(F.sum("count").alias("n")).collect():
+        found[r["stratum"]][r["falls"]] += r["n"]
+    out: dict[str | None, dict[str, float]] = {}
+    for s, steps in asked.items():
+        rejected = [sum(found[s][1 : i + 2]) for i in range(STEPS)]
+        n = passed(rejected, sum(found[s]), alpha, delta / len(asked))
+        out[s] = {rule: RULES[rule][1][j] for rule, j in (steps[n - 1].items() if n else ()) if j >= 0}
     return out
 
 
-def verdict(cutoffs: dict[str | None, dict[str, float]]) -> Column:
-    """Whether a row with lang and MEASURES passes the base rules and those of its stratum, if that has any."""
-
-    def fails(rules: dict[str, float]) -> Column:
-        out = F.lit(False)
-        for rule, cut in sorted(rules.items()):
-            out = out | (F.expr(RULES[rule][0]) > F.lit(cut))
-        return out
-
-    by_stratum = F.when(F.lit(False), F.lit(False))
-    for s, rules in sorted(cutoffs.items(), key=lambda x: (x[0] is not None, x[0] or "")):
-        if rules:
-            by_stratum = by_stratum.when(F.col("lang").eqNullSafe(F.lit(s)), fails(rules))
-    return ~base_failed() & ~by_stratum.otherwise(F.lit(False))
+def judged(measured: DataFrame, cutoffs: dict[str | None, dict[str, float]]) -> DataFrame:
+    """`measured` with kept: whether a row with lang and MEASURES passes the base rules and those of its stratum, if
+    that has any."""
+    rows = [(s, True, *(rules.get(r) for r in RULES)) for s, rules in cutoffs.items() if rules]
+    table = measured.sparkSession.createDataFrame(rows, "__stratum string, __known boolean, " + ", ".join(f"__{r} double" for r in RULES))
+    fails = F.expr(" or ".join(f"coalesce({value} > __{rule}, false)" for rule, (value, _) in RULES.items()))
+    joined = measured.join(F.broadcast(table), F.expr("lang <=> __stratum"), "left")  # a row per language that has over 100 labels
+    return joined.withColumn("kept", ~base_failed() & ~fails).drop(*table.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, save, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -188,15 +212,15 @@ def judge(docs: DataFrame, labels: DataFrame, save, alpha: float = ALPHA, delta:
     alike; other columns are ignored; without enough labels in a stratum only the base rules apply there.
     """
     measured = save(measure(docs, ["doc_id", "lang"]), "measures")
-    cutoffs = learn_cutoffs(measured, labels, alpha, delta)
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(cutoffs).alias("kept"))
+    cutoffs = learn_cutoffs(measured, labels, save, alpha, delta)
+    return judged(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, save, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of `docs` that pass, with their columns. Texts are measured again in place of a join, so
     repeated rows and null ids come through as they are."""
     measured = save(measure(docs, ["doc_id", "lang"]), "measures")
-    cutoffs = learn_cutoffs(measured, labels, alpha, delta)
+    cutoffs = learn_cutoffs(measured, labels, save, alpha, delta)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" if c not in ("text", "lang") else c for i, c in enumerate(names)])
-    return measure(plain, plain.columns).where(verdict(cutoffs)).select(*plain.columns).toDF(*names)
+    return judged(measure(plain, plain.columns), cutoffs).where("kept").select(*plain.columns).toDF(*names)

@@ -169,10 +169,32 @@ def test_binomial_test_is_exact():
     assert quality.binomial_tail(3, 3, 0.5) == 1
 
 
-def test_choice_is_bounded_and_stops_at_the_first_failure():
-    assert quality.choose([0, 0, 5000], [10, 80, 100], 10_000, 100, 0.01, 0.05) == 1
-    assert quality.choose([0, 0], [10, 80], 20, 100, 0.01, 0.05) is None  # too few good labels prove nothing
-    assert quality.choose([200, 0], [10, 80], 10_000, 100, 0.01, 0.05) is None
+def test_ladders_grow_and_end_at_the_first_failure():
+    assert quality.ladder([0, 0, 10, 300], [10, 80, 90, 100], 1000, 100, 0.02, 3) == [1, 1, 1]  # 10 more bad ones are not worth 1 % of the good
+    assert quality.ladder([0, 2, 15], [10, 60, 100], 1000, 100, 0.02, 3) == [0, 1, 2]
+    assert quality.ladder([0, 0], [0, 0], 1000, 0, 0.02, 2) == [-1, -1]  # no bad documents, no cutoff
+    assert quality.passed([0, 2, 40, 0], 1000, 0.02, 0.01) == 2
+    assert quality.passed([0, 0], 100, 0.02, 0.01) == 0  # too few good labels prove nothing
+
+
+def test_false_rejections_of_unseen_documents_are_bounded(spark, scratch):
+    """Labels of two thirds; the rest are good documents that learning never saw, with the same tail of odd ones."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(9000):
+        good = i % 3 != 0 or i >= 6000
+        share = rng.random() ** 60 if good else 0.3 + 0.6 * rng.random()
+        words = [f"w{rng.randrange(5000)}" + ("#" if rng.random() < share else "") for _ in range(40)]
+        rows.append((i, " ".join(words), "en" if i % 2 else "fr"))
+        if i < 6000:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(docs, table, scratch.save).collect()}
+    unseen = [kept for i, (base, kept) in got.items() if i >= 6000 and not base]
+    junk = [kept for i, (base, kept) in got.items() if i < 6000 and i % 3 == 0]
+    assert sum(not k for k in unseen) <= quality.ALPHA * len(unseen)
+    assert 0 < sum(junk) < 0.7 * len(junk)  # cutoffs take effect, as far as the bound lets them
 
 
 def test_cutoffs_reject_junk_and_keep_the_good(spark, scratch):
@@ -186,7 +208,7 @@ def test_cutoffs_reject_junk_and_keep_the_good(spark, scratch):
     rows += [(5000, "few words", "en"), (5001, None, None), (None, "### " * 40, "en"), (5002, " ".join(f"v{i}" for i in range(50)), "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     table = spark.createDataFrame([*labels, (0, 0), (7, None), (8, 3)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in quality.judge(docs, table, scratch.save, alpha=0.1).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(docs, table, scratch.save).collect()}
     for i, t, _ in rows:
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == measured(t)
@@ -194,7 +216,7 @@ def test_cutoffs_reject_junk_and_keep_the_good(spark, scratch):
         if 0 <= (i if i is not None else -1) < 4000:
             assert r["kept"] == (i % 4 != 0)
     assert got[5002]["kept"] and not got[5000]["kept"] and not got[5001]["kept"]
-    kept = quality.keep_good(docs.withColumn("n_words", docs.doc_id), table, scratch.save, alpha=0.1)
+    kept = quality.keep_good(docs.withColumn("n_words", docs.doc_id), table, scratch.save)
     assert kept.columns == ["doc_id", "text", "lang", "n_words"]
     assert kept.count() == sum(r["kept"] for r in got.values())
 
@@ -211,7 +233,7 @@ def test_cutoffs_hold_only_where_labels_prove_them(spark, scratch):
     rows += [(9000 + i, prose_of(True), "zz") for i in range(20)] + [(9100, prose_of(True), "l69")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     table = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, table, scratch.save, alpha=0.1).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, table, scratch.save).collect()}
     assert all(got[i] == (i % 4 != 0) for i in range(4000))
     assert all(kept for i, kept in got.items() if i >= 5000)
 

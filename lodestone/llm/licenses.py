@@ -1,6 +1,7 @@
 """License notices by diagonal voting, in DataFrame operations only.
 
-Every rolling k-gram of a text's words is joined to the positions where license templates have it. Hits of one
+Every rolling k-gram of a text's words whose hash a template has is joined to the positions where templates have it:
+one pass over the words, linear in the text, picks them before rows are made of them. Hits of one
 notice share the offset between text and template, its diagonal; a word put in or left out shifts to a
 neighbouring diagonal, so near diagonals are merged, and a notice counts if its hits cover enough of the
 template. Base phrases are templates that must stand whole on one diagonal.
@@ -8,7 +9,7 @@ template. Base phrases are templates that must stand whole on one diagonal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Phrases and labels.
@@ -52,17 +53,32 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
     return out
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """gram, template, at, w0.., size, votes for every voting k-gram of the templates: a fixed few hundred rows."""
+def _voting() -> list[tuple[int, str, bool, int, list[str], int, int]]:
+    """(template, label, base, place, the k words there, the template's words, its votes) of every voting k-gram."""
     rows = []
     for number, label, base, words in templates():
         votes = [i for i in range(len(words) - K + 1) if base or not all(w in COMMON for w in words[i : i + K])]
-        rows += [(number, label, base, i, *words[i : i + K], len(words), len(votes)) for i in votes]
+        rows += [(number, label, base, i, words[i : i + K], len(words), len(votes)) for i in votes]
+    return rows
+
+
+def template_grams(spark: SparkSession) -> DataFrame:
+    """gram, template, at, w0.., size, votes for every voting k-gram of the templates: a fixed few hundred rows."""
     names = [f"w{j}" for j in range(K)]
-    df = spark.createDataFrame(rows, f"template int, label string, base boolean, at int, {', '.join(f'{n} string' for n in names)}, size int, votes int")
+    df = spark.createDataFrame([(t, label, base, at, *words, size, votes) for t, label, base, at, words, size, votes in _voting()], f"template int, label string, base boolean, at int, {', '.join(f'{n} string' for n in names)}, size int, votes int")
     return df.withColumn("gram", F.xxhash64(*names))
 
 
+def gram_hits(words: Column, grams: list[int]) -> Column:
+    """(pos, gram, w0..) of each k-gram of the words whose hash is among `grams`, and before them one with pos -1,
+    which stands for the text itself."""
+    ks = [F.slice(words, j + 1, F.size(words)) for j in range(1, K)]
+    rolled = F.arrays_zip(words.alias("w0"), *[x.alias(f"w{j}") for j, x in enumerate(ks, 1)])
+    hashed = F.transform(rolled, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(*[x[f"w{j}"] for j in range(K)]).alias("gram"), *[x[f"w{j}"].alias(f"w{j}") for j in range(K)]))
+    none = F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("gram"), *[F.lit("").alias(f"w{j}") for j in range(K)])
+    return F.concat(F.array(none), F.filter(hashed, lambda x: x["gram"].isin(grams)))
+
+
 def words_of(text: str) -> str:
     """SQL for the words of a text, A-Z lower-cased. lower() also folds other letters; of those only the Kelvin
     sign becomes ASCII, so word bounds and matches of words without a k are those of an A-Z fold."""
@@ -77,48 +93,49 @@ def scan(docs: DataFrame) -> DataFrame:
     that one notice covers (1 with a base phrase). A null text is empty; a null doc_id is carried along; wholly
     equal rows are scanned alike; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    grams = F.broadcast(template_grams(spark))  # fixed rows, whatever the input
-    key = ["kid", "knull", "tkey"]
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("kid"), F.col("doc_id").isNull().alias("knull"), F.xxhash64("text").alias("tkey"), F.expr(words_of("text")).alias("words"))
-    gram = "transform(words, (w, i) -> xxhash64(w, " + ", ".join(f"get(words, i + {j})" for j in range(1, K)) + "))"
-    every = rows.select(*key, "words", F.posexplode(F.expr(gram)).alias("pos", "gram"))
+    grams = template_grams(docs.sparkSession)
+    known = [r["gram"] for r in grams.select("gram").distinct().collect()]  # fixed rows, whatever the input
+    key = ["doc_id", "tkey"]
+    split = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.expr(words_of("text")).alias("words"))
+    every = split.select(*key, F.size("words").cast("long").alias("n_words"), F.explode(gram_hits(F.col("words"), known)).alias("h")).select(*key, "n_words", "h.*")
     # a hash only proposes; the words themselves decide
-    same = [F.expr(f"get(words, pos + {j}) = w{j}") for j in range(K)]
-    hits = every.join(grams, "gram")
-    for s in same:
-        hits = hits.where(s)
-    hits = hits.select(*key, "template", "label", "base", "size", "votes", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    voted = hits.groupBy(*key, "template", "label", "base", "size", "votes", "diagonal").agg(F.count_distinct("at").alias("n"), F.collect_set("at").alias("ats"))
+    g = F.broadcast(grams).alias("g")
+    on = F.expr(" and ".join(["h.gram = g.gram", *[f"h.w{j} = g.w{j}" for j in range(K)]]))
+    hits = every.alias("h").join(g, on, "left").where("h.pos < 0 or g.template is not null")
+    hits = hits.select(*[f"h.{c}" for c in key], "n_words", "template", "label", "base", "size", "votes", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    copies = F.count_if(F.col("template").isNull()).alias("copies")  # of the row itself, where several are wholly equal
+    voted = hits.groupBy(*key, "template", "label", "base", "size", "votes", "diagonal").agg(F.collect_set("at").alias("ats"), F.max("n_words").alias("n_words"), copies)
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     # a base phrase is whole on its own diagonal; notices gather neighbours
     first = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | F.lag("diagonal").over(along).isNull() | F.col("base")
     parts = voted.withColumn("part", F.sum(first.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     ats = F.array_distinct(F.flatten(F.collect_list("ats")))
-    spans = parts.groupBy(*key, "template", "label", "base", "size", "votes", "part").agg(ats.alias("ats"), F.min("diagonal").alias("start"))
+    spans = parts.groupBy(*key, "template", "label", "base", "size", "votes", "part").agg(ats.alias("ats"), F.min("diagonal").alias("start"), F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
     spans = spans.withColumn("cover", F.when(F.size("ats") == F.col("votes"), 1.0).otherwise(covered / F.col("size")))
     spans = spans.withColumn("real", F.when(F.col("base") | (F.col("size") < SHORT), F.size("ats") == F.col("votes")).otherwise(F.col("cover") >= COVER))
     base = F.col("real") & F.col("base")
     text = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    found = spans.groupBy(*key).agg(
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        text(base).alias("base_labels"),
-        text(F.col("real")).alias("labels"),
-        F.max(F.when(~F.col("base") | F.col("real"), F.col("cover"))).alias("score"),
+    return (
+        spans.groupBy(*key)
+        .agg(
+            F.max("n_words").alias("n_words"),
+            F.count_if(base).alias("n_base"),
+            F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
+            F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
+            text(base).alias("base_labels"),
+            text(F.col("real")).alias("labels"),
+            F.coalesce(F.max(F.when(~F.col("base") | F.col("real"), F.col("cover"))), F.lit(0.0)).alias("score"),
+            F.sum("copies").alias("copies"),
+        )
+        .withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+        .select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     )
-    sized = rows.select("doc_id", *key, F.size("words").cast("long").alias("n_words"))
-    return sized.join(found, key, "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def scan_sql() -> str:
     """The same scan as DuckDB SQL over `documents`."""
-    values = []
-    for number, label, base, words in templates():
-        votes = [i for i in range(len(words) - K + 1) if base or not all(w in COMMON for w in words[i : i + K])]
-        values += [f"({number}, '{label}', {str(base).lower()}, {i}, '{words[i]}', '{words[i + 1]}', {len(words)}, {len(votes)})" for i in votes]
+    values = [f"({t}, '{label}', {str(base).lower()}, {at}, '{words[0]}', '{words[1]}', {size}, {votes})" for t, label, base, at, words, size, votes in _voting()]
     return f"""
     WITH grams(template, label, base, tpos, w0, w1, size, votes) AS (VALUES {', '.join(values)}),
     docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD.replace("x00", "x{0}")}') AS words FROM documents),

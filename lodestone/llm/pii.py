@@ -94,6 +94,34 @@ _IS = {o: f"try_cast({x} as date) is not null" for o, x in _AS.items()}
 _OCTETS = "transform(split(m, '[.]'), o -> cast(o as int))"
 
 
+#: A phone number's digits, without the trunk 0 that is written in brackets after a country.
+_BARE = "regexp_replace(replace(m, '(0)', ''), '[^0-9]', '')"
+# Country codes of one and two digits; all others have three.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Numbers of the North American plan without a country: 3-3-4, perhaps after a 1, or with the area in brackets.
+_AMERICAN = r"^(?:(?:1[ .\-])?[1-9][0-9]{2}([ .\-])[0-9]{3}\1[0-9]{4}|\([1-9][0-9]{2}\)[ .\-/]?[0-9]{3}[ .\-]?[0-9]{4})$"
+
+
+def _phone(key: str) -> str:
+    """SQL for a phone number's pseudonym in the shape of m.
+
+    A number with a country (after + or 00, or of the North American plan) is permuted by its digits alone, its
+    country kept, so that all its spellings stay linked. Others keep a trunk 0 and are permuted behind it.
+    """
+    led = "(substr({x}, 1, 1) <> '0')"
+    step = feistel("{x}", 10, key, "phone")
+    # behind the 1 of North America a leading digit other than 0 stays one, which the 3-3-4 spelling needs
+    rest = f"case when c <> '1' or length(q) <> 10 then {feistel('q', 10, key, 'phone')} when q like '0%' then concat('0', {_let('substr(q, 2)', 'v', feistel('v', 10, key, 'phone'))}) else {walk('q', step, led, 60)} end"
+    permuted = _let(f"regexp_extract(n, {_q(COUNTRY)}, 0)", "c", _let("substr(n, length(c) + 1)", "q", f"concat(c, {rest})"))
+    shape = "replace(m, '(0)', '(o)')"
+    fill = lambda lead, number: _let(f"concat({lead}, {number})", "z", f"replace({_refill(shape, 'z')}, '(o)', '(0)')")
+    abroad = fill("''", _let("d", "n", permuted))
+    double = fill("'00'", _let("substr(d, 3)", "n", permuted))
+    american = fill("if(length(d) = 11, '1', '')", _let("concat('1', right(d, 10))", "n", f"substr({permuted}, 2)"))
+    home = fill("if(d like '0%', '0', '')", walk("if(d like '0%', substr(d, 2), d)", step, led, 60))
+    return _let(_BARE, "d", f"case when startswith(m, '+') then {abroad} when startswith(m, '00') then {double} when m rlike {_q(_AMERICAN)} then {american} else {home} end")
+
+
 def _valid(kind: str) -> str:
     digits = "regexp_replace(m, '[^0-9]', '')"
     return {
@@ -101,7 +129,7 @@ def _valid(kind: str) -> str:
         "secret": "m rlike '[0-9]' and m rlike '[a-fA-F]'",
         "date": _let(_PARTS, "p", f"if(length(p[0]) = 4, {_IS['ymd']}, {_IS['dmy']} or {_IS['mdy']})"),
         "ip": f"forall({_OCTETS}, o -> o <= 255)",
-        "phone": f"length({digits}) - if(m like '00%', 2, 0) between 9 and 15",
+        "phone": f"length({_BARE}) - if(m like '00%', 2, 0) between 9 and 15",
         "ssn": SSN_OK.replace("{x}", digits),
         "card": _let(digits, "q", f"{luhn_sum('q', False)} % 10 = 0 and q rlike '[1-9]'"),
     }[kind]
@@ -128,12 +156,7 @@ def _pseudonym(kind: str, key: str) -> str:
         number = f"array_join(transform({_OCTETS}, o -> lpad(lower(hex(o)), 2, '0')), '')"
         return _let(feistel(number, 16, key, kind), "z", "array_join(transform(array(1, 3, 5, 7), i -> conv(substr(z, i, 2), 16, 10)), '.')")
     if kind == "phone":
-        lead = "regexp_extract(m, '^[+]([0-9]{1,3})', 1)"
-        abroad = _let("concat('00', regexp_extract(m, '^00([0-9]{1,3})', 1))", "c", _let(f"concat(c, {_let(f'substr({digits}, length(c) + 1)', 'q', feistel('q', 10, key, kind))})", "z", _refill("m", "z")))
-        # a trunk 0 stays, and the next digit isn't 0 before or after
-        home = _let(f"if({digits} like '0%', '0', '')", "c", _let(f"concat(c, {walk(f'substr({digits}, length(c) + 1)', feistel('{x}', 10, key, kind), '(substr({x}, 1, 1) <> {0})'.replace('{0}', repr('0')), 60)})", "z", _refill("m", "z")))
-        plus = _let(f"if(length({lead}) = 3 and length({digits}) < 11, '', {lead})", "c", _let(f"concat(c, {_let(f'substr({digits}, length(c) + 1)', 'q', feistel('q', 10, key, kind))})", "z", _refill("m", "z")))
-        return f"case when startswith(m, '+') then {plus} when startswith(m, '00') then {abroad} else {home} end"
+        return _phone(key)
     if kind == "ssn":
         return _let(walk(digits, feistel("{x}", 10, key, kind), SSN_OK, 60), "z", _refill("m", "z"))
     body = _let(f"substr({digits}, 1, length({digits}) - 1)", "q", feistel("q", 10, key, kind))
@@ -152,24 +175,26 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     Kinds: email addresses, hexadecimal secrets, dates, IP addresses, phone numbers, social security numbers and
     payment cards; a form that fails its validation (Luhn's sum, a date that doesn't exist, an octet over 255)
     stays. `key` is the secret of the permutations. A null text stays null with nothing found; an empty or very
-    long one is treated as any other; repeated rows are treated alike; other columns are carried; an empty table
-    gives no rows.
+    long one is treated as any other; repeated rows are treated alike; other columns are carried as they are,
+    whatever their names (where one is named found, the new one is found_1, or the first free number); an empty
+    table gives no rows.
     """
+    names = docs.columns
+    new_name = next(n for n in ["found", *[f"found_{i}" for i in range(1, len(names) + 2)]] if n not in names)
     pattern = _q(PATTERN)
-    text = f"`{column}`"
-    hits = f"transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('m', m, 'k', {_kind()}))"
-    some = f"{text} rlike '[0-9@]'"  # every form has one of these
-    out = docs.withColumn("__hits", F.expr(f"if({some}, {hits}, null)"))
+    plain = docs.toDF(*["text" if n == column else f"c{i}" for i, n in enumerate(names)])
+    hits = f"transform(regexp_extract_all(text, {pattern}, 0), m -> named_struct('m', m, 'k', {_kind()}))"
+    out = plain.withColumn("hits", F.expr(f"if(text rlike '[0-9@]', {hits}, null)"))  # every form has one of these
     new = "case h.k " + " ".join(f"when '{k}' then {_let('h.m', 'm', _pseudonym(k, key))}" for k in FORMS) + " else h.m end"
-    real = "exists(__hits, h -> h.k is not null)"
-    out = out.withColumn("__text", F.expr(f"if({real}, {_rebuilt(text, pattern, new)}, {text})"))
-    found = F.expr("transform(filter(coalesce(__hits, array()), h -> h.k is not null), h -> h.k)")
-    return out.withColumn("found", found).withColumn(column, F.col("__text")).drop("__hits", "__text")
+    real = "exists(hits, h -> h.k is not null)"
+    text = F.expr(f"if({real}, {_rebuilt('text', pattern, new)}, text)")
+    found = F.expr("transform(filter(coalesce(hits, array()), h -> h.k is not null), h -> h.k)")
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in plain.columns], found.alias("found")).toDF(*names, new_name)
 
 
 def _rebuilt(text: str, pattern: str, new: str) -> str:
     """SQL for the text with each hit's successor in its place: pieces and successors in turn."""
-    after = f"concat(transform(__hits, h -> {new}), array(''))"
+    after = f"concat(transform(hits, h -> {new}), array(''))"
     return f"array_join(transform(arrays_zip(split({text}, {pattern}, -1), {after}), z -> concat(z['0'], z['1'])), '')"
 
 

@@ -1,6 +1,7 @@
 """Tokens, packing, quality, language, licenses and personal data against plain-Python versions."""
 
 import base64
+import datetime
 import hashlib
 import random
 import re
@@ -441,7 +442,65 @@ def test_dates_of_all_forms_do_not_collide(spark):
     assert len({r["text"] for r in pii.pseudonymise(numbers, "k").collect()}) == 90
 
 
+def test_a_number_keeps_one_pseudonym_in_all_its_spellings(spark):
+    same = [
+        ["+14155550100", "+1 415 555 0100", "+1 (415) 555-0100", "001 415 555 0100", "415-555-0100", "(415) 555-0100", "1-415-555-0100", "415.555.0100"],
+        ["+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958"],
+        ["+33 6 12 34 56 78", "0033612345678", "+33612345678"],
+        ["+353 86 123 4567", "+353861234567"],
+        ["030 1234567", "0301234567", "030/1234567"],
+    ]
+    rows = [(100 * i + j, f"call {v} now") for i, of in enumerate(same) for j, v in enumerate(of)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, of in enumerate(same):
+        digits = set()
+        for j, v in enumerate(of):
+            assert got[100 * i + j]["found"] == ["phone"], v
+            new = got[100 * i + j]["text"][5:-4]
+            assert new != v and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+            bare = re.sub(r"\D", "", new.replace("(0)", ""))
+            bare = bare[2:] if v.startswith("00") else bare
+            digits.add(bare[-10:] if i == 0 else bare)
+        assert len(digits) == 1, of
+    assert got[0]["text"][5:].startswith("+1") and got[100]["text"][5:].startswith("+44") and got[300]["text"][5:].startswith("+353")
+
+
+def test_phone_numbers_do_not_collide(spark):
+    """Codes of one to three digits, with as many digits in all: no two numbers meet."""
+    numbers = spark.sql("select cast(id as long) as doc_id, concat('+', cast(14155550100 + id * 25000019 as string)) as text from range(3000)")
+    got = [r["text"] for r in pii.pseudonymise(numbers, "k").collect()]
+    assert len(set(got)) == 3000 and all(re.fullmatch(r"\+\d{11}", t) for t in got)
+
+
+def test_dates_and_numbers_equal_plain_python(spark):
+    """Cycle walking over the Feistel network, done again in Python."""
+    day0 = datetime.date(1900, 1, 1)
+
+    def date(d):
+        x = f"{(d - day0).days:05d}"
+        while True:
+            x = plain_feistel(x, 10, "key", "date")
+            if int(x) < pii.DAYS:
+                return day0 + datetime.timedelta(int(x))
+
+    def ssn(x):
+        while True:
+            x = plain_feistel(x, 10, "key", "ssn")
+            if x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000":
+                return f"{x[:3]}-{x[3:5]}-{x[5:]}"
+
+    rng = random.Random(6)
+    days = [day0 + datetime.timedelta(rng.randrange(pii.DAYS)) for _ in range(100)]
+    numbers = [f"{rng.randrange(1, 666):03d}{rng.randrange(1, 100):02d}{rng.randrange(1, 10**4):04d}" for _ in range(100)]
+    rows = [(i, d.isoformat()) for i, d in enumerate(days)] + [(100 + i, f"{x[:3]}-{x[3:5]}-{x[5:]}") for i, x in enumerate(numbers)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert got == {i: date(d).isoformat() for i, d in enumerate(days)} | {100 + i: ssn(x) for i, x in enumerate(numbers)}
+
+
 def test_awkward_documents_stay_as_they_are(docs, empty):
-    done = pii.pseudonymise(docs.drop("found"), "k")
-    assert Counter((r["doc_id"], r["text"], r["node"]) for r in done.collect()) == Counter((r["doc_id"], r["text"], r["node"]) for r in docs.collect())
+    done = pii.pseudonymise(docs, "k")
+    assert done.columns == [*docs.columns, "found_1"]
+    assert Counter(tuple(r)[:-1] for r in done.collect()) == Counter(tuple(r) for r in docs.collect())
     assert pii.pseudonymise(empty, "k").count() == 0
+    odd = docs.limit(5).withColumnRenamed("node", "hits").withColumnRenamed("comp", "a.b")
+    assert pii.pseudonymise(odd, "k").columns == [*odd.columns, "found_1"]

@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
-Filters of several widths slide over byte classes, each keeps its greatest response within a fixed-length
-window, and a softmax layer reads those. A text's prediction weighs the probabilities of all its windows.
+Filters of several widths slide over the bytes, each keeps its greatest response within a fixed-length window, and a
+softmax layer reads those. A text's prediction weighs the probabilities of all its windows.
 """
 
 from __future__ import annotations
@@ -22,51 +22,37 @@ FILTERS = 16
 WINDOW = 256
 #: Most labelled documents per language that training reads, and of all languages, each keeping one at least.
 TRAIN_PER_LANG, TRAIN_ROWS = 1000, 64_000
-#: Characters of a labelled document that training draws its windows from, at a place that a hash picks.
-TRAIN_CHARS = 2048
+#: Windows that training gets of each such document, spread evenly over its whole text.
+DRAWS = 8
+#: Share of training windows whose a to z are raised, so that text in capitals is known too.
+RAISED = 0.1
 #: Steps for up to STEP_LANGS languages, and more in proportion.
 STEPS, BATCH, STEP_LANGS = 1500, 64, 64
 UNKNOWN = "und"
 
 
-def byte_classes() -> np.ndarray:
-    """128 classes: letters without case, digits as one, white space as class 0, every high byte but the rare
-    last ones on its own."""
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 32 + (b - 128) % 96
-        elif c.isalpha():
-            out[b] = 1 + ord(c.lower()) - 97
-        elif c.isdigit():
-            out[b] = 27
-        elif b in b"'-":
-            out[b] = 28
-        elif b > 32:
-            out[b] = 29
-    return out
-
-
-CLASS = byte_classes()
-N_CLASSES = 128
+N_BYTES = 256
+RAISE = np.arange(256, dtype=np.uint8)
+RAISE[97:123] -= 32
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 REACH = max(WIDTHS) - 1
 
 
 def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte classes of all windows of texts that stand at data[start:end]: (windows, window + reach), each
-    window's text, and its own bytes. Past a text's end there is white space."""
+    """Bytes of all windows of texts that stand at data[start:end]: (windows, window + reach), each
+    window's text, and its own bytes. Past a text's end there is 0."""
     count = -(-(end - start) // window)
     text = np.repeat(np.arange(len(start)), count)
     first = start[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * window
     at = first[:, None] + np.arange(window + REACH)
     inside = at < end[text][:, None]
-    return np.where(inside, CLASS[data[np.minimum(at, max(len(data) - 1, 0))]], 0).astype(np.uint8), text, np.minimum(end[text] - first, window)
+    return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8), text, np.minimum(end[text] - first, window)
 
 
 @dataclass
 class ByteCnn:
-    """taps[w][i] is (classes, filters): what byte i under a filter of width w adds."""
+    """taps[w][i] is (256, filters): what byte i under a filter of width w adds."""
 
     langs: list[str]
     taps: list[np.ndarray]
@@ -77,41 +63,32 @@ class ByteCnn:
     @classmethod
     def new(cls, langs: list[str], rng: np.random.Generator) -> ByteCnn:
         k = FILTERS * len(WIDTHS)
-        taps = [rng.normal(0, 0.3, (w, N_CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
+        taps = [rng.normal(0, 0.3, (w, N_BYTES, FILTERS)).astype(np.float32) for w in WIDTHS]
         return cls(langs, taps, np.zeros(k, np.float32), rng.normal(0, 0.1, (k, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
         n = x.shape[1] - REACH
-        return [sum(t[i][x[:, i : i + n]] for i in range(len(t))) for t in self.taps]
+        out = []
+        for t in self.taps:
+            r = t[0].take(x[:, :n], axis=0)
+            for i in range(1, len(t)):
+                r += t[i].take(x[:, i : i + n], axis=0)
+            out.append(r)
+        return out
 
     def softmax(self, pooled: np.ndarray) -> np.ndarray:
         z = np.maximum(pooled + self.bias, 0) @ self.dense + self.offset
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """Taps folded over pairs of bytes, so that each filter is one or two look-ups a position."""
-        out = []
-        for t in self.taps:
-            pairs = [(t[i][:, None, :] + t[i + 1][None, :, :]).reshape(-1, FILTERS) for i in range(0, len(t) - 1, 2)]
-            out.append(pairs + ([t[-1]] if len(t) % 2 else []))
-        return out
-
-    def pooled(self, x: np.ndarray, tables: list[list[np.ndarray]], block: int = 48) -> np.ndarray:
+    def pooled(self, x: np.ndarray, block: int = 48) -> np.ndarray:
         """Greatest response of each filter in each window, a block of windows at a time."""
-        n = x.shape[1] - REACH
         out = np.empty((len(x), FILTERS * len(WIDTHS)), np.float32)
         for a in range(0, len(x), block):
-            part = x[a : a + block]
-            pair = part[:, :-1].astype(np.int32) * N_CLASSES + part[:, 1:]
-            for k, (t, width) in enumerate(zip(tables, WIDTHS, strict=True)):
-                r = t[0].take(pair[:, :n], axis=0)
-                for j, more in enumerate(t[1:], 1):
-                    r += more.take(pair[:, 2 * j : 2 * j + n] if 2 * j + 1 < width else part[:, 2 * j : 2 * j + n], axis=0)
-                out[a : a + block, k * FILTERS : (k + 1) * FILTERS] = r.max(1)
+            out[a : a + block] = np.concatenate([r.max(1) for r in self.responses(x[a : a + block])], 1)
         return out
 
-    def predict(self, col: pa.Array, tables: list[list[np.ndarray]] | None = None) -> tuple[list[str], np.ndarray]:
+    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and probability of each whole text."""
         lettered = pc.match_substring_regex(col, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
         col = col.fill_null("")
@@ -121,22 +98,23 @@ class ByteCnn:
         x, text, weight = windows(data, end - size, end)
         p = np.zeros((len(col), max(1, len(self.langs))))
         if len(x) and self.langs:
-            np.add.at(p, text, self.softmax(self.pooled(x, tables or self.tables())) * weight[:, None])
+            np.add.at(p, text, self.softmax(self.pooled(x)) * weight[:, None])
         p /= np.maximum(size, 1)[:, None]
         best = p.argmax(1)
         known = lettered & bool(self.langs)
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = STEPS) -> ByteCnn:
+def train(texts: list[str] | list[bytes], langs: list[str], seed: int = 7, steps: int = STEPS) -> ByteCnn:
     """Fit by Adam on random windows of 8 to WINDOW bytes, languages drawn evenly. Deterministic."""
-    rows = [(t, g) for t, g in zip(texts, langs, strict=True) if t.strip()]
+    raw = [t.encode("utf-8") if isinstance(t, str) else t for t in texts]
+    rows = [(t, g) for t, g in zip(raw, langs, strict=True) if t.strip()]
     names = sorted({g for _, g in rows} or set(langs))
     rng = np.random.default_rng(seed)
     model = ByteCnn.new(names, rng)
     of: dict[str, list[np.ndarray]] = {g: [] for g in names}
     for t, g in rows:
-        of[g].append(np.frombuffer(t.encode("utf-8"), np.uint8))
+        of[g].append(np.frombuffer(t, np.uint8))
     by = list(of.values())
     if len(names) < 2:
         return model
@@ -149,7 +127,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = STEPS)
             d = by[k][rng.integers(len(by[k]))]
             n = int(rng.integers(8, WINDOW + 1))
             a = int(rng.integers(0, max(1, len(d) - n + 1)))
-            picked.append(d[a : a + n])
+            picked.append(RAISE[d[a : a + n]] if rng.random() < RAISED else d[a : a + n])
         end = np.cumsum([len(d) for d in picked])
         x, _, _ = windows(np.concatenate(picked), end - [len(d) for d in picked], end)
         best, pooled = [], []
@@ -184,10 +162,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """(span of text, lang) of `per_lang` documents at most of every language (fewer where so many languages would
-    make more than `most`, but one at least), by a hash of text and id, so that copies come in by their share; only texts with letters. Two scans, no shuffle
-    but of about twice those spans; TRAIN_CHARS characters at most of each document."""
+def spread(data: bytes, seed: int, draws: int = DRAWS, window: int = WINDOW) -> list[bytes]:
+    """Windows of a text (the whole, if it is no longer than one): one at a random place of each of `draws` equal parts,
+    fewer where parts would be shorter than a window. Those with letters, if any has."""
+    n = max(1, min(draws, len(data) // window))
+    rng = np.random.default_rng(seed & (1 << 63) - 1)
+    cuts = [len(data) * i // n for i in range(n + 1)]
+    out = [data[a : a + window] for a in (int(rng.integers(lo, max(lo, hi - window) + 1)) for lo, hi in zip(cuts, cuts[1:], strict=False))]
+    lettered = [x for x in out if LETTER[np.frombuffer(x, np.uint8)].any()]
+    return lettered or out
+
+
+def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_ROWS) -> list[tuple[list[bytes], str]]:
+    """(windows of a text, lang) of `per_lang` documents at most of every language (fewer where so many languages would
+    make more than `most`, but one at least), by a hash of text and id, so that copies come in by their share; only
+    texts with letters, each read as a whole. Two scans, no shuffle but of about twice those windows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text", "doc_id").alias("draw"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
     if not counts:
@@ -195,11 +184,15 @@ def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_RO
     per = max(1, min(per_lang, most // len(counts)))
     shares = docs.sparkSession.createDataFrame([(r["lang"], (2 * per + 20) / r["n"], r["least"]) for r in counts], "lang string, share double, least long")
     drawn = rows.join(F.broadcast(shares), "lang").where((F.pmod("draw", F.lit(1_000_000)) / 1e6 < F.col("share")) | (F.col("draw") == F.col("least")))
-    span = f"substr(text, cast(1 + pmod(draw, greatest(length(text) - {TRAIN_CHARS}, 1)) as int), {TRAIN_CHARS})"
-    lettered = f"if({span} rlike '\\\\p{{L}}', {span}, substr(text, regexp_instr(text, '\\\\p{{L}}'), {TRAIN_CHARS}))"
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-    found = drawn.select(F.expr(lettered).alias("text"), "lang", "draw").withColumn("place", place).where(F.col("place") <= per).collect()
-    return sorted((r["text"], r["lang"]) for r in found)
+
+    def cut(batches):
+        for batch in slices(batches):
+            out = [spread(t.encode("utf-8"), d) for t, d in zip(column(batch, "text").to_pylist(), column(batch, "draw").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "lang"), column(batch, "draw"), pa.array(out, pa.list_(pa.binary()))], ["lang", "draw", "windows"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))  # about 2 * per rows each
+    found = drawn.select("lang", "text", "draw").mapInArrow(cut, "lang string, draw long, windows array<binary>").withColumn("place", place).where(F.col("place") <= per).collect()
+    return sorted(([bytes(x) for x in r["windows"]], r["lang"]) for r in found)
 
 
 def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
@@ -211,13 +204,13 @@ def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """
     drawn = sample(docs, per_lang)
     steps = STEPS * max(1, -(-len({g for _, g in drawn}) // STEP_LANGS))
-    model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in drawn], [g for _, g in drawn], steps=steps))  # grows with the languages only
+    windows_of = [(w, g) for ws, g in drawn for w in ws]
+    model = docs.sparkSession.sparkContext.broadcast(train([w for w, _ in windows_of], [g for _, g in windows_of], steps=steps))  # grows with the languages only
 
     def run(batches):
         net = model.value
-        tables = net.tables()
         for batch in slices(batches):
-            lang, score = net.predict(column(batch, "text"), tables)
+            lang, score = net.predict(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

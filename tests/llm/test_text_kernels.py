@@ -292,7 +292,7 @@ def test_copies_are_drawn_by_their_share(spark):
     rows += [(9000 + i, f"other {i}", "cc") for i in range(300)]
     drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
     assert Counter(g for _, g in drawn) == {"aa": 100, "bb": 100, "cc": 100}
-    share = Counter(t for t, g in drawn if g == "aa")
+    share = Counter(w[0].decode() for w, g in drawn if g == "aa")
     assert all(15 <= share[t] <= 52 for t in ("copy x", "copy xx"))
 
 
@@ -302,12 +302,34 @@ def test_language_without_labels(docs, empty, scratch):
     assert langid.identify(empty).count() == 0
 
 
-def test_pooled_tables_equal_direct_convolution():
+def test_responses_equal_plain_convolution():
     model = langid.ByteCnn.new(["a", "b"], np.random.default_rng(0))
-    data = np.frombuffer("some text, déjà vu; ".encode() * 40, np.uint8)
+    data = np.frombuffer("some text, déjà vu; 日本 ".encode() * 40, np.uint8)
     x, _, _ = langid.windows(data, np.array([0, 100]), np.array([100, len(data)]))
-    direct = np.concatenate([r.max(1) for r in model.responses(x)], 1)
-    assert np.allclose(model.pooled(x, model.tables()), direct, atol=1e-5)
+    hot = np.eye(256, dtype=np.float32)[x]
+    n = x.shape[1] - langid.REACH
+    want = np.concatenate([sum(hot[:, i : i + n] @ t[i] for i in range(len(t))).max(1) for t in model.taps], 1)
+    assert np.allclose(model.pooled(x), want, atol=1e-5)
+
+
+def test_bytes_are_told_apart_whatever_their_lead(spark):
+    """Languages that differ only in the lead bytes of their letters, or in their case; texts in capitals are known."""
+    rng = random.Random(8)
+    spell = lambda base, n: " ".join("".join(chr(base + rng.randrange(16)) for _ in range(5)) for _ in range(n))
+    bases = {"el": 0x3B1, "th": 0xE01, "ka": 0x10D0, "am": 0x1200}
+    rows = [(i, spell(b, 30), g) for k, (g, b) in enumerate(bases.items()) for i in range(1000 * k, 1000 * k + 200)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    of = {i: g for i, _, g in rows}
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 100 and sum(r["lang_pred"] == of[r["doc_id"]] for r in held) >= 0.99 * len(held)
+
+
+def test_training_windows_come_from_the_whole_text():
+    data = b"a" * 3000 + b"b" * 3000 + b"c" * 3000
+    seen = b"".join(x for seed in range(40) for x in langid.spread(data, seed))
+    assert {*seen} == {*b"abc"} and max(map(len, langid.spread(data, 1))) == langid.WINDOW
+    assert langid.spread(b"short", 3) == [b"short"]
+    assert langid.spread(b"1" * 2000 + b"word" * 100, 5) != []
 
 
 # --- licenses

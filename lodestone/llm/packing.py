@@ -66,13 +66,16 @@ def _best_pattern(sizes: list[int], worth: np.ndarray, size: int) -> tuple[float
     return float(best[size]), pattern
 
 
-def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 400) -> list[tuple[list[int], int]]:
-    """Patterns of few sizes and how often to use each: column generation over the linear relaxation, floored."""
+def configurations(sizes: list[int], need: list[int], size: int) -> list[tuple[list[int], int]]:
+    """Patterns of few sizes and how often to use each: column generation over the linear relaxation, floored. It ends
+    where no pattern is worth more than a sequence, or a basis comes again (only without gain)."""
     m = len(sizes)
     if not m:
         return []
     basis = np.diag([float(size // s) for s in sizes])
-    for _ in range(rounds):
+    seen: set[tuple] = set()
+    while (own := tuple(sorted(map(tuple, basis.T)))) not in seen:
+        seen.add(own)
         worth = np.linalg.solve(basis.T, np.ones(m))
         gain, pattern = _best_pattern(sizes, worth, size)
         if gain <= 1 + 1e-9:
@@ -259,5 +262,6 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 4096, end_id:
             out = [pa.array(r[:, 3] + k // r[:, 4]), pa.array(r[:, 5] + k % r[:, 4] * length)]
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *out], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(base, ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("lrank")).alias("rank"))
+    # dealt by key at every size: the table of bases has a row per task and length, so it grows with the documents
+    ranked = pieces.join(base.hint("merge"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("lrank")).alias("rank"))
     return ranked.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

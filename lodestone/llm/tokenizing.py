@@ -17,6 +17,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -37,10 +38,10 @@ ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 MARK = "<|"
 #: Distinct chunks that a worker keeps; beyond, it starts afresh.
 CACHE = 300_000
-#: A chunk is frequent if it makes up one in HOT of all, so that there are HOT at most; and candidates that one task
-#: may name.
+#: Entries of the table of frequent chunks at most; documents that it is drawn from, about; and chunks that one of
+#: those may name.
 HOT = 200_000
-HOT_TASK = 40_000
+HOT_DOCS, HOT_EACH = 2000, 1000
 
 
 def byte_alphabet() -> list[str]:
@@ -56,6 +57,15 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def byte_of() -> np.ndarray:
+    """The byte alphabet in reverse: the byte that each stand-in character stands for, by code point."""
+    letters = byte_alphabet()
+    out = np.zeros(max(map(ord, letters)) + 1, np.uint8)
+    for b, c in enumerate(letters):
+        out[ord(c)] = b
+    return out
+
+
 @lru_cache(maxsize=4)
 def library(path: str):
     """The tokenizers library's own reading of a .json file, without truncation or padding."""
@@ -202,39 +212,35 @@ def _whole_counts(path: str) -> Callable[[list[str]], list[int]]:
     return lambda strings: [len(x) for x in t.encode_batch_fast(strings, add_special_tokens=False)]
 
 
-def frequent_chunks(docs: DataFrame, path: str, entries: int = HOT) -> dict[str, int]:
-    """The frequent chunks over all texts (one in `entries` or more of those counted), with their token counts.
+def frequent_chunks(docs: DataFrame, path: str, entries: int = HOT, most: int = HOT_DOCS, each: int = HOT_EACH) -> dict[str, int]:
+    """Chunks met twice or more in about `most` documents, the most frequent `entries` of them, with their token counts.
 
-    Each task sums its own texts and names at most HOT_TASK chunks, so what moves is bounded by tasks, not
-    by text; a chunk pushed out of one task's list only loses its place in the table, never its count.
+    The sample only fills a cache ahead of time: a chunk that it misses is encoded when met. Nothing is shuffled;
+    the driver gets `most` times `each` counts at most, whatever the corpus.
     """
+    share = min(1.0, most / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1e6) + 1
 
     def summarise(batches):
-        seen: dict[str, int] = {}
         for batch in slices(batches, limit=4 * SLICE_BYTES):
-            coded, offsets, odd = split_chunks(column(batch, "text").fill_null(""))
+            coded, _, _ = split_chunks(column(batch, "text").fill_null(""))
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-            top = np.flatnonzero(n > 1)
-            top = top[np.argsort(-n[top], kind="stable")[:HOT_TASK]]
-            for c, k in zip(coded.dictionary.take(pa.array(top)).to_pylist(), n[top].tolist(), strict=True):
-                seen[c] = seen.get(c, 0) + k
-            if len(seen) > 3 * HOT_TASK:
-                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:HOT_TASK])
-        top = sorted(((c, k) for c, k in seen.items() if len(c) < 64), key=lambda x: -x[1])[:HOT_TASK]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([k for _, k in top], pa.int64())], ["chunk", "n"])
-
-    found = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).persist()
-    total = found.agg(F.sum("n")).first()[0] or 0
-    names = [r["chunk"] for r in found.where(F.col("n") * entries >= total).select("chunk").collect()]  # `entries` rows at most
-    found.unpersist()
+            top = np.argsort(-n, kind="stable")[: each * batch.num_rows]
+            short = pc.less(pc.utf8_length(coded.dictionary.take(pa.array(top))), 64).to_numpy(zero_copy_only=False)
+            top = top[short]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(top)), pa.array(n[top])], ["chunk", "n"])
+
+    found = docs.select("text", drawn.alias("drawn")).where("drawn").select("text").mapInArrow(summarise, "chunk string, n long").toArrow()
+    known = found.group_by("chunk").aggregate([("n", "sum")]).filter(pc.field("n_sum") > 1).sort_by([("n_sum", "descending"), ("chunk", "ascending")])
+    names = known.column("chunk").to_pylist()[:entries]
     return dict(zip(names, (len(x) >> 2 for x in byte_fill(path)(names)), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, hot_entries: int = HOT) -> DataFrame:
     """Tokens of each text: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    A map-side look-up in two tiers: a broadcast table of the frequent chunks (at most `hot_entries`,
-    whatever the corpus), then the worker's cache, which the library fills on misses. No chunk is
+    A map-side look-up in two tiers: a broadcast table of the frequent chunks of a sample (at most
+    `hot_entries`, whatever the corpus), then the worker's cache, which the library fills on misses. No chunk is
     shuffled. `path` names a byte-level tokenizers .json file; other .json files and sentencepiece .model
     files count whole texts.
 
@@ -277,7 +283,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def rank_tokenizer(path: str, pattern: str):
-    """A tokenizers BPE with the ranks' vocabulary, and the bytes of each id.
+    """A tokenizers BPE with the ranks' vocabulary, the stand-in characters of each id, and the ranks.
 
     Bytes map to their stand-in characters; each token's merge is the pair that the lower ranks leave of it.
     """
@@ -295,9 +301,9 @@ def rank_tokenizer(path: str, pattern: str):
                 merges.append((spell(pair[0]), spell(pair[1])))
     t = Tokenizer(models.BPE({spell(b): r for b, r in ranks.items()}, merges))
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    table = [b""] * (max(ranks.values()) + 1)
-    for b, r in ranks.items():
-        table[r] = b
+    table = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = spell(token)
     return t, table, ranks
 
 
@@ -323,9 +329,11 @@ class RankCodec:
         self.mark = max(self.ranks.values()) + 1
         self.rule = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={MARK + "end|>": self.mark})
         self.cache = Cached(self._encode)
-        self.size = np.array([len(b) for b in self.table], np.int64)
+        self.chunked = pattern == public_tokenizers.PATTERN  # else where a chunk ends is not known here
+        self.size = np.array([len(x) for x in self.table], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
+        self.letters = np.frombuffer("".join(self.table).encode("utf-32-le"), "<u4")
+        self.byte_of = byte_of()
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk. Tokens with several splits can meet in an order that the merge list lacks;
@@ -334,12 +342,17 @@ class RankCodec:
         if any(MARK in c for c in chunks):
             return [np.array(self.rule.encode_ordinary(c), "<u4").tobytes() for c in chunks]
         mark = np.array([self.mark], "<u4").tobytes()
-        if np.array_equal(np.frombuffer(mark.join(out), "<u4"), self.rule.encode_to_numpy((MARK + "end|>").join(chunks), allowed_special="all")):
+        rule = self.rule.encode_to_numpy((MARK + "end|>").join(chunks), allowed_special="all")
+        if np.array_equal(np.frombuffer(mark.join(out), "<u4"), rule):
             return out
-        return [np.array(self.rule.encode_ordinary(c), "<u4").tobytes() for c in chunks]
+        ends = np.flatnonzero(rule == self.mark)
+        return [rule[a:b].astype("<u4").tobytes() for a, b in zip([0, *(ends + 1)], [*ends, len(rule)], strict=True)]
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts in a row, and each text's offsets in them."""
+        if not self.chunked:
+            parts = [np.array(self.rule.encode_ordinary(t), "<u4") for t in col.to_pylist()]
+            return np.concatenate([*parts, np.zeros(0, "<u4")]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         coded, offsets, odd = split_chunks(col, marks=False)
         if not odd.any():
             return Encoded(coded, offsets, self.cache).ids()
@@ -356,12 +369,17 @@ class RankCodec:
         return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum([len(p) >> 2 for p in parts])])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that ids stand for, and the offset at which each id's begin; characters split over ids
-        come together again as bytes."""
+        """The bytes that ids stand for, and the offset at which each id's begin: their characters, put back through
+        the reversed byte table. A character split over ids comes together again as its bytes do."""
         n = self.size[ids]
         ends = np.cumsum(n)
-        out = self.bytes[np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return out, np.concatenate([[0], ends])
+        letters = self.letters[np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.byte_of[letters], np.concatenate([[0], ends])
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The character of the text in which each id's bytes begin, which may have begun in the id before."""
+        data, starts = self.decode(ids)
+        return (np.cumsum((data & 0xC0) != 0x80) - 1)[starts[:-1]]
 
 
 @lru_cache(maxsize=2)
@@ -370,28 +388,33 @@ def codec(path: str, pattern: str) -> RankCodec:
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids of each text: doc_id, ids array<int>. A null text is empty; other columns are ignored."""
+    """Ids of each text: doc_id, ids array<int>, places array<int> (the character in which each id's bytes begin; two
+    ids share one where a character is split). A null text is empty; other columns are ignored."""
 
     def run(batches):
         c = codec(path, pattern)
         for batch in slices(batches):
             ids, at = c.encode(column(batch, "text").fill_null(""))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+            places = [c.places(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.astype(np.int32)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), lists(ids), lists(np.concatenate([*places, np.zeros(0, np.int64)]))], ["doc_id", "ids", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, places array<int>")
 
 
 def decode_ids(ids: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Bytes of each id list: doc_id, decoded binary. Null ids give null."""
+    """doc_id, decoded binary, text: what each id list stands for. Characters split over ids come together; where a list
+    begins or ends inside one, text has U+FFFD there and decoded the bytes. Null ids give null."""
 
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
             rows = column(batch, "ids").to_pylist()
             out = [None if r is None else c.decode(np.array(r, np.int64))[0].tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+            texts = [None if x is None else x.decode("utf-8", "replace") for x in out]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "decoded", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, decoded binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -73,6 +73,45 @@ def test_encode_then_decode_frames(docs, scratch):
     assert back == Counter((r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect())
 
 
+def test_split_characters_and_places(spark, scratch):
+    """A list cut inside a character keeps its bytes; each id knows the character that its bytes begin in."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    text = "a 🙂🙃 日本語 ẅ é \U00010348"
+    ids = tokenizing.encode_ids(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), path, P.PATTERN)
+    got = {r["doc_id"]: r for r in ids.collect()}
+    codec = tokenizing.codec(path, P.PATTERN)
+    at = 0
+    for i, place in zip(got[1]["ids"], got[1]["places"], strict=True):
+        assert place == len(text.encode()[: at + 1].decode("utf-8", "ignore")) - (text.encode()[: at + 1].decode("utf-8", "ignore").encode() == text.encode()[: at + 1])
+        at += len(codec.decode(np.array([i]))[0])
+    assert got[2]["ids"] == got[2]["places"] == []
+    parts = [(k, got[1]["ids"][:k]) for k in range(len(got[1]["ids"]) + 1)]
+    for r in tokenizing.decode_ids(spark.createDataFrame(parts, "doc_id long, ids array<int>"), path, P.PATTERN).collect():
+        assert text.encode().startswith(bytes(r["decoded"])) and r["text"] == bytes(r["decoded"]).decode("utf-8", "replace")
+    assert sorted(tokenizing.byte_of()[[ord(c) for c in tokenizing.byte_alphabet()]].tolist()) == list(range(256))
+
+
+def test_other_patterns_equal_tiktoken():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    pattern = r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]+"
+    reference = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=tokenizing.read_ranks(path), special_tokens={})
+    texts = ["it's 12345 words  and\n\nmore", "", "ab1234é"]
+    ids, at = tokenizing.RankCodec(path, pattern).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_frequent_chunks_come_from_a_bounded_sample(spark, scratch):
+    rows = [(i, f"the same words {i}") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = P.path("byte_bpe_50k.json")
+    known = tokenizing.frequent_chunks(docs, path, most=100)
+    t = Tokenizer.from_file(path)
+    assert {"the", " same", " words"} <= set(known) and len(known) < 100
+    assert all(n == len(t.encode(c, add_special_tokens=False).ids) for c, n in known.items())
+    plan = tokenizing.count_tokens(docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_cache_turns_over():
     calls = []
     c = tokenizing.Cached(lambda x: calls.append(list(x)) or [len(v) for v in x], {"hot": 7}, limit=3)
@@ -140,6 +179,42 @@ def test_linear_grouping_finds_a_perfect_packing():
     assert packing.Plan({50: 30, 30: 30, 20: 30}, 100, 3, 8).sequences == 30
 
 
+def fewest(pieces: list[int], size: int) -> int:
+    """The least sequences, by trying every place of each piece."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for j in {rooms[k]: k for k in range(len(rooms)) if rooms[k] >= pieces[i]}.values():
+            place(i + 1, [r - pieces[i] if k == j else r for k, r in enumerate(rooms)])
+        place(i + 1, [*rooms, size - pieces[i]])
+
+    pieces = sorted(pieces, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    """Small cases against the brute-force optimum, large ones against what the lengths need at least."""
+    over = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        pieces = [rng.randrange(1, 20 if seed % 2 else 41) for _ in range(11)]
+        gap = packing.best_plan(Counter(pieces), 40).sequences - fewest(pieces, 40)
+        assert 0 <= gap <= 1
+        over += gap
+    assert over <= 6
+    rng = random.Random(99)
+    hist = Counter(min(4096, 1 + int(rng.lognormvariate(6.5, 1.1))) for _ in range(20_000))
+    need = -(-sum(n * c for n, c in hist.items()) // 4096)
+    assert packing.best_plan(hist, 4096).sequences <= need * 1.002 + 1
+
+
 # --- quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -28,8 +28,9 @@ PER_CELL, FEWEST, MOST = 200, 2, 1024
 TARGET = 0.998
 #: Made-up links, at least, and numbers that the ranking of cells holds at once.
 FAR, AT_ONCE = 3000, 1 << 22
-#: Rows of one side of a block; a cell with more is dealt over several blocks.
-BLOCK = 2048
+#: Indexed vectors and queries of a block, about; a cell with more is dealt over several blocks. Queries stream past
+#: the indexed ones, STEP at a time.
+BLOCK, ASKING, STEP = 2048, 8192, 512
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -77,9 +78,14 @@ class MultiIndex:
         i, j = (v.ravel() for v in np.meshgrid(np.arange(a.shape[1]), np.arange(b.shape[1]), indexing="ij"))
         own = (i + 1) * (j + 1) <= n
         i, j = i[own], j[own]
-        total = np.take_along_axis(a, ia, 1)[:, i] + np.take_along_axis(b, ib, 1)[:, j]
-        order = total.argsort(1, kind="stable")[:, :n]
-        return np.take_along_axis(ia[:, i] * len(self.second) + ib[:, j], order, 1)
+        out = np.empty((len(x), min(n, len(i))), np.int32)
+        step = max(1, AT_ONCE // len(i))
+        for k in range(0, len(x), step):
+            part = slice(k, k + step)
+            total = np.take_along_axis(a[part], ia[part], 1)[:, i] + np.take_along_axis(b[part], ib[part], 1)[:, j]
+            order = total.argsort(1, kind="stable")[:, :n]
+            out[part] = np.take_along_axis(ia[part][:, i] * len(self.second) + ib[part][:, j], order, 1)
+        return out
 
     def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The place of a cell in each vector's multi-sequence, from 1."""
@@ -107,12 +113,15 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return col.flatten().to_numpy().reshape(-1, dims)
 
 
-def _sample(classes: DataFrame, total: int, most: int, salt: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Nodes and vectors of about `most` classes by a hash of the vectors (all, if fewer)."""
-    part = F.pmod(F.xxhash64(F.lit(salt), "embedding"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(total, 1)) + 1)
-    rows = classes.where(part).select("node", "embedding").limit(2 * most).toArrow()
+def _sample(classes: DataFrame, total: int, most: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and vectors of about `most` classes by a hash of the vectors (all, if fewer; one at least)."""
+    draw = F.pmod(F.xxhash64(F.lit(salt), "embedding"), F.lit(1_000_000))
+    rows = classes.where(draw < int(1e6 * min(1.0, most / max(total, 1)) + 1)).select("node", "embedding").toArrow()
+    if not rows.num_rows:
+        rows = classes.orderBy(draw, "node").limit(1).select("node", "embedding").toArrow()
     rows = rows.sort_by("node")
-    return None if not rows.num_rows else (rows.column("node").to_numpy(), np.array(rows.column("embedding").to_pylist()))
+    x = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return rows.column("node").to_numpy(), x.reshape(rows.num_rows, -1)
 
 
 def visits(classes: DataFrame, index: MultiIndex, nodes: np.ndarray, probes: np.ndarray, dims: int, threshold: float, target: float) -> int:
@@ -144,64 +153,93 @@ def visits(classes: DataFrame, index: MultiIndex, nodes: np.ndarray, probes: np.
     return max(1, *(min(int(np.searchsorted(np.cumsum(links) / links.sum(), target)), n) for links in (own, far) if links.any()))
 
 
-def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
-    """Links between a block's queries and its indexed vectors: counts of each, and edges that join them."""
-    role = table.column("query").to_numpy()
-    order = np.argsort(role, kind="stable")
-    n_y = int((~role).sum())
-    node = table.column("node").to_numpy()[order]
-    weight = table.column("weight").to_numpy()[order]
-    cell = table.column("own").to_numpy()[order]
-    visited = np.array(table.column("visited").combine_chunks().flatten()).reshape(n_y, -1)  # the indexed rows' alone, in their order
-    x = unit(_matrix(table.column("embedding").combine_chunks(), dims))[order]
-    a, b, n = [], [], []
-    if 0 < n_y < len(node):
-        mask = x[n_y:] @ x[:n_y].T >= threshold
-        mask &= node[n_y:, None] != node[None, :n_y]
-        if mask.any():
-            i, j = np.nonzero(mask)
-            # the other direction counts here only where the other vector does not visit the query's cell
-            blind = np.ones(len(i), bool)
-            for k in range(0, len(i), 1 << 18):
-                blind[k : k + (1 << 18)] = ~(visited[j[k : k + (1 << 18)]] == cell[n_y:][i[k : k + (1 << 18)]][:, None]).any(1)
-            count = np.zeros(len(node), np.int64)
-            np.add.at(count, n_y + i, weight[j])
-            np.add.at(count, j[blind], weight[n_y:][i[blind]])
-            label = node.copy()
-            while True:
-                before = label.copy()
-                low = np.minimum(label[n_y + i], label[j])
-                np.minimum.at(label, n_y + i, low)
-                np.minimum.at(label, j, low)
-                if np.array_equal(before, label):
-                    break
-            met, moved = np.flatnonzero(count), np.flatnonzero(label != node)
-            a, b, n = np.concatenate([node[met], node[moved]]), np.concatenate([node[met], label[moved]]), np.concatenate([count[met], np.zeros(len(moved), np.int64)])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+class _Indexed:
+    """The indexed vectors of a block."""
+
+    def __init__(self, table: pa.Table, dims: int):
+        self.node, self.weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        self.x = unit(_matrix(table.column("embedding").combine_chunks(), dims))
+        visited = np.array(table.column("visited").combine_chunks().flatten(), np.int64).reshape(len(self.node), -1)
+        # (vector, cell) of all that they visit, as sorted numbers
+        self.top = int(visited.max()) + 1
+        self.visits = np.sort((np.arange(len(self.node))[:, None] * self.top + visited).ravel())
+
+    def visit(self, at: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        key = at * self.top + cells
+        return (cells < self.top) & (self.visits[np.minimum(np.searchsorted(self.visits, key), len(self.visits) - 1)] == key)
+
+    def links(self, queries: pa.RecordBatch, dims: int, threshold: float) -> pa.RecordBatch:
+        """Links of some queries: a, b, n; counts (a = b) and edges that join what the links join (n = 0)."""
+        node, weight, cell = (column(queries, c).to_numpy() for c in ("node", "weight", "own"))
+        near = unit(_matrix(column(queries, "embedding"), dims)) @ self.x.T >= threshold
+        i, j = np.nonzero(near & (node[:, None] != self.node[None, :]))
+        # the other direction counts here only where the other vector does not visit the query's cell
+        blind = ~self.visit(j, cell[i].astype(np.int64))
+        nodes = np.concatenate([node, self.node])
+        j = j + len(node)
+        count = np.zeros(len(nodes), np.int64)
+        np.add.at(count, i, self.weight[j - len(node)])
+        np.add.at(count, j[blind], weight[i[blind]])
+        label = nodes.copy()
+        while True:
+            before = label.copy()
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+            if np.array_equal(before, label):
+                break
+        met, moved = np.flatnonzero(count), np.flatnonzero(label != nodes)
+        out = [np.concatenate([nodes[met], nodes[moved]]), np.concatenate([nodes[met], label[moved]]), np.concatenate([count[met], np.zeros(len(moved), np.int64)])]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "n"])
+
+
+def _blocks(batches, dims: int, threshold: float):
+    """Links of blocks that come one after another, each block's indexed vectors before its queries."""
+    current, held, index = None, [], None
+    for batch in batches:
+        keys = np.stack([column(batch, c).to_numpy() for c in ("cell", "j", "i")], 1)
+        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            key = tuple(keys[lo])
+            if key != current:
+                current, held, index = key, [], None
+            part = batch.slice(lo, hi - lo)
+            n = int((~column(part, "query").to_numpy(zero_copy_only=False)).sum())
+            if n:
+                held.append(part.slice(0, n))
+            if n < hi - lo and held:
+                index = index or _Indexed(pa.Table.from_batches(held), dims)
+                for k in range(n, hi - lo, STEP):
+                    yield index.links(part.slice(k, min(STEP, hi - lo - k)), dims, threshold)
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding).
 
     Pairs link at cosine >= threshold; equal vectors are one class, so copies are counted, not compared. A
-    vector that is null, empty or zero, or holds a null or non-finite component, links with nothing, and so does
-    one of another length than most. n_links counts other rows; component_id is the smallest vec_id reachable
-    (a null vec_id is never the smallest); kept says whether a row has it; rows that share a vec_id count each; other columns are ignored;
-    an empty table gives no rows.
+    vector that is null, empty or zero, or holds a null or non-finite component, links with nothing. Vectors of each
+    length are compared among themselves, by an index of their own. n_links counts other rows; component_id is the
+    smallest vec_id reachable (a null vec_id is never the smallest); kept says whether a row has it; rows that share a
+    vec_id count each; other columns are ignored; an empty table gives no rows.
     """
     good = "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v != 0)"
-    rows = vectors.select("vec_id", "embedding", F.expr(f"coalesce({good}, false)").alias("good"))
-    sizes = rows.where("good").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 1
-    fits = F.col("good") & (F.size("embedding") == dims)
-    classes = rows.where(fits).groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    rows = vectors.select("vec_id", "embedding", F.expr(f"if(coalesce({good}, false), size(embedding), 0)").alias("d"))
+    lengths = sorted(r["d"] for r in rows.where("d > 0").select("d").distinct().collect())  # of vectors, not how many there are
+    out = rows.where("d = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dims in lengths:
+        out = out.union(_linked(rows.where(F.col("d") == dims).select("vec_id", "embedding"), dims, scratch, threshold, target))
+    return out.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(rows: DataFrame, dims: int, scratch: Scratch, threshold: float, target: float) -> DataFrame:
+    """vec_id, n_links, component_id of vectors of one length."""
+    classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # unique as written
     total = classes.count()
     k = int(max(FEWEST, min(MOST, (total / PER_CELL) ** 0.5)))
-    train = _sample(classes, total, TRAIN, 1)
-    if train is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    train, half = unit(train[1]), max(1, dims // 2)
+    train, half = unit(_sample(classes, total, TRAIN, 1)[1]), max(1, dims // 2)
     index = MultiIndex(kmeans(train[:, :half], k, 1), kmeans(train[:, half:], k, 2) if dims > 1 else np.zeros((1, 0)), half)
     n_cells = visits(classes, index, *_sample(classes, total, PROBE, 2), dims, threshold, target)
 
@@ -214,22 +252,20 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95,
 
     kind = classes.schema["embedding"].dataType.simpleString()
     placed = scratch.save(classes.select("node", "weight", "embedding").mapInArrow(place, f"node long, weight long, embedding {kind}, own int, visited array<int>"), "placed")
-    chunks = lambda c: F.ceil(F.col("n") / BLOCK).cast("int").alias(c)
-    held = placed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("n")).select("cell", chunks("js"))  # a row per cell: at most MOST**2
-    asking = placed.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).select("cell", chunks("is"))
+    chunks = lambda c, of: F.ceil(F.col("n") / of).cast("int").alias(c)
+    held = placed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("n")).select("cell", chunks("js", BLOCK))  # a row per cell: at most MOST**2
+    asking = placed.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).select("cell", chunks("is", ASKING))
     dealt = scratch.save(held.join(asking, "cell"), "cells")
     salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = ["node", "weight", "embedding", "own"]
     indexed = placed.withColumn("cell", F.col("own")).join(dealt, "cell").select("cell", salt("js").alias("j"), every("is").alias("i"), F.lit(False).alias("query"), *base, "visited")
     queries = placed.withColumn("cell", F.explode("visited")).join(dealt, "cell").select("cell", every("js").alias("j"), salt("is").alias("i"), F.lit(True).alias("query"), *base, F.expr("cast(array() as array<int>)").alias("visited"))
-    met = indexed.unionByName(queries).groupBy("cell", "i", "j").applyInArrow(lambda t: _block(t, dims, threshold), "a long, b long, n long")
-    met = scratch.save(met, "links")
+    blocks = indexed.unionByName(queries).repartition("cell", "j", "i").sortWithinPartitions("cell", "j", "i", "query")
+    met = scratch.save(blocks.mapInArrow(lambda batches: _blocks(batches, dims, threshold), "a long, b long, n long"), "links")
     counts = met.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("node"), "n")
     comps = connected(met.where("a != b").select("a", "b"), scratch)
     known = classes.join(counts, "node", "left").join(comps, "node", "left").select("embedding", "weight", "least_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("comp", "node").alias("comp"))
     ids = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     known = known.join(ids, "comp").select("embedding", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = rows.where(fits).join(known, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~fits).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.join(known, "embedding").select("vec_id", "n_links", "component_id")

@@ -116,3 +116,29 @@ def test_a_probes_own_vector_is_no_link(spark):
     y = 0.95 * x[1500:] + (1 - 0.95**2) ** 0.5 * side
     every = np.arange(1500)
     assert (index.meeting(x[1500:], y, every, every) <= n).mean() >= 0.98
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_of_a_few_pairs_among_random_vectors(spark, scratch, seed):
+    """Thirty pairs at cosine 0.955 among 20,000 vectors that have no other links."""
+    rng = np.random.default_rng(seed)
+    x = embeddings.unit(rng.normal(size=(20_000, 64)))
+    side = rng.normal(size=(30, 64))
+    side = embeddings.unit(side - (side * x[:30]).sum(1, keepdims=True) * x[:30])
+    x = np.concatenate([x, 0.955 * x[:30] + (1 - 0.955**2) ** 0.5 * side])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))}))
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df, scratch).where("n_links > 0").collect()}
+    assert sum(got.values()) >= 0.98 * 60 and set(got.values()) == {1}
+    assert all((i + 20_000 if i < 30 else i - 20_000) in got for i in got)
+
+
+def test_every_length_is_compared(spark, scratch):
+    """Vectors of equal direction link with those of their own length, whichever length most have."""
+    rows = [(i, [1.0, 2.0 * (i + 1)]) for i in range(2)] + [(10 + i, [float(i + 1), 2.0 * (i + 1), 0.5 * (i + 1)]) for i in range(5)]
+    rows += [(20 + i, [3.0 + i]) for i in range(3)] + [(30, [-1.0]), (40, [0.0, 0.0]), (41, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, scratch).collect()}
+    assert [got[i] for i in (10, 11, 12, 13, 14)] == [(4, 10, True)] + [(4, 10, False)] * 4
+    assert got[0] == (1, 0, True) and got[1] == (1, 0, False)
+    assert [got[i] for i in (20, 21, 22, 30)] == [(2, 20, True), (2, 20, False), (2, 20, False), (0, 30, True)]
+    assert got[40] == (0, 40, True) and got[41] == (0, 41, True)

@@ -1,31 +1,39 @@
 """A corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Every stage reads what its predecessor wrote and returns a DataFrame; all but the last keep the columns of
-documents. What a stage writes for itself in the shared folder goes when the next one starts, by which time its
-own result is written.
+documents. A stage writes what it needs for itself to the Scratch that it is given, and the caller releases that once
+the stage's result is written. A stage that is given none keeps its tables until the next stage is called with a
+table that doesn't read them.
+
+Stages take documents as the operators do: null texts and ids, empty texts, ties and repeated rows each have the result
+that the operator's docstring states; columns of any names are carried; no documents give no rows.
 """
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash, packing, pii, quality, substrings
 from lodestone.llm.queries_pii import KEY
-from lodestone.plans.runtime import Scratch, ship
+from lodestone.plans.runtime import Scratch, finished, ship
 
-_open: list[Scratch] = []
+_left: dict[tuple, Scratch] = {}
 
 
-def _fresh(spark: SparkSession) -> Scratch:
+def _scratch(spark: SparkSession, docs: DataFrame, sf_dir: str, given: Scratch | None) -> Scratch:
     ship(spark)
-    while _open:
-        last = _open.pop()
-        if last.spark is spark:
-            last.release()
-    _open.append(Scratch(spark))
-    return _open[-1]
+    if given is not None:
+        return given
+    run = (spark.sparkContext.applicationId, threading.get_ident(), sf_dir)
+    last = _left.get(run)
+    if last is not None and not any(last.root.rstrip("/").split(":")[-1] in f for f in docs.inputFiles()):
+        last.release()
+    _left[run] = Scratch(spark)
+    return _left[run]
 
 
 OWN = ("doc_id", "text", "lang", "n_chars")
@@ -42,31 +50,31 @@ def _with_text(done: DataFrame, docs: DataFrame) -> DataFrame:
     return done.select(*[F.length("text").cast(plain.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Documents that the rules reject go; cutoffs come from the table labels."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _fresh(spark).save)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _scratch(spark, docs, sf_dir, scratch).save)
 
 
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """One document of each group stays (five-word shingles, similarity 0.8)."""
-    return minhash.keep_one(docs, _fresh(spark), width=5, percent=80)
+    return minhash.keep_one(docs, _scratch(spark, docs, sf_dir, scratch), width=5, percent=80)
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Words within passages of 35 words or more that repeat go; texts without them stay as they are."""
-    done = substrings.remove_repeats(_plain(docs), _fresh(spark))
+    done = substrings.remove_repeats(_plain(docs), _scratch(spark, docs, sf_dir, scratch))
     return _with_text(done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
 
 
-def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to pseudonyms."""
-    _fresh(spark)
-    return _with_text(pii.pseudonymise(_plain(docs), KEY), docs)
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None, key: str = KEY) -> DataFrame:
+    """Personal data gives way to pseudonyms under a key; nothing is written."""
+    _scratch(spark, docs, sf_dir, scratch)
+    return _with_text(pii.pseudonymise(_plain(docs), key), docs)
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Sequences of at most 4096 tokens: a row per piece with its place."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), _fresh(spark))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), _scratch(spark, docs, sf_dir, scratch))
 
 
 STAGES = [
@@ -81,10 +89,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written as Parquet and read again for the next."""
-    kept = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = kept.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str, key: str = KEY) -> DataFrame:
+    """All stages over the table documents, each written as Parquet and read again for the next; `key` is the secret of
+    the pseudonyms. What a stage read goes when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        work, kept = Scratch(spark), Scratch(spark)
+        docs = finished(stage(spark, docs, sf_dir, work, **({"key": key} if stage is pii_pseudonyms else {})), work, kept)
+        if before is not None:
+            before.release()
+        before = kept
+    return docs

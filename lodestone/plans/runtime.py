@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -42,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):  # local-cluster has executors of its own
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -71,3 +72,10 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(conf).delete(path, True)
+
+
+def finished(df: DataFrame, scratch: Scratch, keep: Scratch | None = None) -> DataFrame:
+    """`df` as a table written to `keep` (one of its own, if none); what `scratch` holds goes."""
+    out = (keep or Scratch(scratch.spark)).save(df, "result")
+    scratch.release()
+    return out

@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.packing import pack
-from lodestone.plans.runtime import Scratch, ship
+from lodestone.plans.runtime import Scratch, finished, ship
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     ship(spark)
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, Scratch(spark))
+    scratch = Scratch(spark)
+    return finished(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, scratch), scratch)
 
 
 QUERIES = {"op3_best_fit_packing": op3_best_fit_packing}

@@ -1,6 +1,9 @@
 """The pipeline against plain-Python stages, and the queries' registration."""
 
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline
@@ -13,6 +16,7 @@ import __spark_entry__ as entry
 
 from lodestone.llm.pii import pseudonymise
 from lodestone.llm.queries_pii import KEY
+from lodestone.plans.runtime import shared_dir
 
 
 def test_stages_and_names():
@@ -79,3 +83,31 @@ def test_pipeline_over_no_documents(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_chain_unwritten_and_leave_nothing_behind(spark, docs, tmp_path):
+    """Stages composed without writing keep their tables; run() leaves its result alone; a key changes pseudonyms."""
+    extra = spark.createDataFrame([(500, "Call +1 (551) 555-0826 about card 4111111111111111, one two three four five six.", "en")], "doc_id long, text string, lang string")
+    docs.where("doc_id < 200").unionByName(extra, allowMissingColumns=True).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = corpus_pipeline.quality_rules(spark, table, str(tmp_path))
+    once = corpus_pipeline.minhash_near_dedup(spark, good, str(tmp_path))
+    twice = corpus_pipeline.substring_dedup(spark, once, str(tmp_path))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    ends = [corpus_pipeline.run(spark, str(tmp_path), key=k) for k in ("a", "b")]
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert len(left) == 2
+    assert twice.count() == once.count()
+    assert {r["doc_id"] for r in twice.collect()} == {r["doc_id"] for r in ends[0].collect()}
+    crc = [{(r["doc_id"], r["ids_crc32"]) for r in e.collect()} for e in ends]
+    assert {i for i, _ in crc[0] ^ crc[1]} == {500}
+
+
+def test_entry_survives_what_is_missing():
+    """Without a library that the subpackage needs, or without the pipeline's script, the rest is registered."""
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules[{!r}] = None; import __spark_entry__ as e; print(len([n for n in e.queries() if n.startswith('op')]), 'knn_single_l2' in e.queries(), 'pipeline' in e.queries())"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(name)], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__), timeout=100).stdout.split()
+    assert run("tokenizers.nothing") == ["10", "True", "True"]
+    assert run("public_tokenizers") == ["0", "True", "False"]
+    assert run("corpus_pipeline") == ["10", "True", "False"]

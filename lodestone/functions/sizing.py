@@ -20,12 +20,13 @@ def level_scale(m: int) -> float:
 
 
 def uniform(id_: Column, seed: int = 0) -> Column:
-    """A fraction in (0, 1) from an id: integer arithmetic only, so that other engines agree."""
-    return ((id_ * MULTIPLIER + INCREMENT + seed) % MODULUS + 1) / F.lit(float(MODULUS + 1))
+    """A fraction in (0, 1) from an id: integer arithmetic only, so that other engines agree, on the id modulo
+    MODULUS, so that no id overflows."""
+    return ((id_ % MODULUS * MULTIPLIER + INCREMENT + seed) % MODULUS + 1) / F.lit(float(MODULUS + 1))
 
 
 def uniform_of(id_: int, seed: int = 0) -> float:
-    return ((id_ * MULTIPLIER + INCREMENT + seed) % MODULUS + 1) / (MODULUS + 1)
+    return ((id_ % MODULUS * MULTIPLIER + INCREMENT + seed) % MODULUS + 1) / (MODULUS + 1)
 
 
 def layer(u: Column, m: int, max_layers: int = MAX_LAYERS) -> Column:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import DimensionMismatchError, LodestoneError
 from lodestone.operators import ann, knn
 from lodestone.plans.runtime import ship
-from lodestone.schema import VECTORS, IndexOptions, require_dimensions
-from lodestone.sources.store import Store
+from lodestone.schema import GRAPH, VECTORS, IndexOptions, require_dimensions
+from lodestone.sources.store import LEASE, Manifest, Store
 
 MODES = ("exact", "ann")
+#: Numbers that add() and add_batch() of arrays keep on the driver before they are written.
+BUFFER = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -34,12 +38,12 @@ class VectorIndex:
     writer may have an index open; readers (`read_only`) keep the snapshot they opened.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dimensions: int, options: IndexOptions | None = None, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, options: IndexOptions | None = None, read_only: bool = False, lease: float = LEASE):
         ship(spark)
         self.options = (options or IndexOptions()).validate()
         self.path, self.spark = path, spark
-        self._store: Store | None = Store.open(spark, path, dimensions, self.options, read_only)
-        self._buffer: list[list[float]] = []
+        self._store: Store | None = Store.open(spark, path, dimensions, self.options, read_only, lease)
+        self._buffer: list[np.ndarray] = []
         self._staged: list[tuple[str, int]] = []
 
     # --- life cycle
@@ -75,13 +79,16 @@ class VectorIndex:
         if x.ndim != 1 or len(x) != store.manifest.dimensions:
             raise DimensionMismatchError(f"dimension mismatch: expected a vector of {store.manifest.dimensions}, got shape {x.shape}")
         self._writable()
-        self._buffer.append(x.tolist())
+        self._buffer.append(x)
+        if len(self._buffer) * len(x) >= BUFFER:
+            self._spill()
         return len(self) - 1
 
     def add_batch(self, batch: DataFrame | np.ndarray | list, order: list[str] | None = None) -> range:
         """Append rows with a column `embedding` (or a matrix); the range of their ids.
 
-        Ids follow the columns `order`. All rows are checked first, and either all become visible or none.
+        Ids follow the columns `order` (without any, the order in which rows are read, which may change from one
+        reading to the next). All rows are checked first, and either all become visible or none.
         """
         store = self._open()
         self._writable()
@@ -92,7 +99,11 @@ class VectorIndex:
             if rows.ndim != 2 or rows.shape[1] != store.manifest.dimensions:
                 raise DimensionMismatchError(f"dimension mismatch: expected rows of {store.manifest.dimensions}, got shape {rows.shape}")
             first = len(self)
-            self._buffer += rows.tolist()
+            step = max(1, BUFFER // rows.shape[1])
+            for at in range(0, len(rows), step):
+                self._buffer += list(rows[at : at + step])
+                if len(self._buffer) >= step:
+                    self._spill()
             return range(first, len(self))
         self._spill()
         first = len(self)
@@ -116,34 +127,56 @@ class VectorIndex:
     def _spill(self) -> None:
         """Stage what add() buffered."""
         if self._buffer:
-            rows = [(i, v) for i, v in enumerate(self._buffer)]
-            self._staged.append(self._stage(self.spark.createDataFrame(rows, "n long, embedding array<float>"), ["n"]))
+            self._staged.append(self._stage(self._buffered().withColumnRenamed("id", "n"), ["n"]))
             self._buffer = []
 
-    def flush(self, graph: bool = False) -> None:
-        """Commit what was added by one manifest; with `graph`, build the search graph over all vectors too."""
+    def _buffered(self, first: int = 0) -> DataFrame:
+        x = np.stack(self._buffer)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        return self.spark.createDataFrame(pa.table({"id": pa.array(np.arange(first, first + len(x))), "embedding": rows}))
+
+    def flush(self, graph: bool = False, batch: tuple[str, int] | None = None) -> None:
+        """Commit what was added by one manifest; with `graph`, link what is not linked yet into the search graph.
+
+        `batch` (a stream's name, the number of its batch) is committed along; see `last_batch`.
+        """
         store = self._open()
         self._writable()
         self._spill()
-        if not self._staged and not graph:
-            return
         manifest = deepcopy(store.manifest)
         manifest.vectors += [name for name, _ in self._staged]
         manifest.node_count += sum(n for _, n in self._staged)
-        if self._staged:
-            manifest.graph = None  # it would miss the new rows
-        if graph and manifest.node_count:
+        if batch:
+            manifest.batches[batch[0]] = batch[1]
+        if self._staged or batch:
             store.publish(manifest)
             self._staged = []
-            manifest = deepcopy(store.manifest)
-            manifest.shards = ann.shards_for(manifest.node_count)
-            manifest.graph = f"v={manifest.version + 1}-graph"
-            built = ann.build_graph(store.vectors(), self.options, manifest.shards)
-            built.write.parquet(f"{store.root}/{manifest.graph}")
-            top = self.spark.read.parquet(f"{store.root}/{manifest.graph}").orderBy(F.desc("layer"), "id").select("id", "layer").first()
+        if graph and store.manifest.linked < store.manifest.node_count:
+            store.publish(self._linked(deepcopy(store.manifest)))
+
+    def _linked(self, manifest: Manifest) -> Manifest:
+        """The manifest with the graph of all its vectors: shards that are full stay, the last one grows, new ones come."""
+        store = self._open()
+        manifest.per_shard = manifest.per_shard or ann.SHARD
+        first = manifest.linked
+        name = f"v={manifest.version + 1}-{uuid.uuid4().hex[:8]}/graph"
+        ann.build_graph(store.vectors(), self.options, manifest.per_shard, 0, first, store.graph()).write.parquet(f"{store.root}/{name}")
+        start = first // manifest.per_shard * manifest.per_shard
+        manifest.graphs = [(n, a) for n, a in manifest.graphs if a < start] + [(name, start)]
+        manifest.linked = manifest.node_count
+        top = self.spark.read.schema(GRAPH).parquet(f"{store.root}/{name}").orderBy(F.desc("layer"), "id").first()
+        if manifest.entry_point is None or (-top["layer"], top["id"]) < (-manifest.max_layer, manifest.entry_point):
             manifest.entry_point, manifest.max_layer = top["id"], top["layer"]
-        store.publish(manifest)
-        self._staged = []
+        return manifest
+
+    def last_batch(self, stream: str) -> int:
+        """The last batch of a stream that is committed, -1 without any."""
+        return self._open().manifest.batches.get(stream, -1)
+
+    def discard(self) -> None:
+        """Forget what was added since the last flush."""
+        self._open()
+        self._buffer, self._staged = [], []
 
     # --- reading
 
@@ -154,13 +187,20 @@ class VectorIndex:
         if self._staged:
             rows = rows.unionByName(self.spark.read.schema(VECTORS).parquet(*[f"{store.root}/{n}" for n, _ in self._staged]))
         if self._buffer:
-            first = len(self) - len(self._buffer)
-            rows = rows.unionByName(self.spark.createDataFrame([(first + i, v) for i, v in enumerate(self._buffer)], "id long, embedding array<float>"))
+            rows = rows.unionByName(self._buffered(len(self) - len(self._buffer)))
         return rows
 
     def get_vector(self, id_: int) -> list[float]:
         return self._open().get(id_)
 
+    def neighbors(self, id_: int, layer: int = 0) -> list[int]:
+        """The links of a node in a layer, as committed."""
+        return self._open().neighbors(id_, layer)
+
+    def check(self) -> None:
+        """Raise if the committed graph breaks the layout."""
+        self._open().check_graph()
+
     def search(self, query, k: int = 10, mode: str = "exact") -> list[SearchResult]:
         """The k nearest of one query by Euclidean distance, nearest first; fewer if there are fewer."""
         store = self._open()
@@ -191,9 +231,11 @@ class VectorIndex:
             return knn.batch(queries, self.vectors(), k, metric)
         if metric != "euclidean":
             raise ValueError("ann search is by Euclidean distance")
-        if store.manifest.graph is None or self._staged or self._buffer:
+        if store.manifest.linked < len(self):
             raise LodestoneError("no graph over all vectors; call flush(graph=True)")
-        return ann.search(queries, store.vectors(), store.graph(), k, self.options, store.manifest.shards)
+        if not len(self):
+            return knn.batch(queries, self.vectors(), 0)
+        return ann.search(queries, store.vectors(), store.graph(), k, self.options, len(self), store.manifest.per_shard)
 
     def graph(self) -> DataFrame:
         return self._open().graph()

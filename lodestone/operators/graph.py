@@ -120,6 +120,31 @@ def link_filter(links: DataFrame, node_count: int) -> DataFrame:
     return links.where(F.col("dst").isNotNull() & (F.col("dst") >= 0) & (F.col("dst") != F.col("src")) & (F.col("dst") < node_count))
 
 
+def graph_violations(graph: DataFrame, node_count: int, m: int, max_layers: int) -> DataFrame:
+    """id, layer, fault of the rows (id, layer, neighbors) that the layout does not allow: a node or layer that cannot
+    be, more links than the layer's cap, a link to a node that is not there, to itself, or twice to one."""
+    cap = F.when(F.col("layer") == 0, max_neighbors(0, m)).otherwise(max_neighbors(1, m))
+    faults = [
+        (F.col("id").isNull() | (F.col("id") < 0) | (F.col("id") >= node_count), "no such node"),
+        (F.col("layer").isNull() | (F.col("layer") < 0) | (F.col("layer") >= max_layers), "no such layer"),
+        (F.col("neighbors").isNull() | (F.size("neighbors") > cap), "too many links, or none at all"),
+        (F.exists("neighbors", lambda x: x.isNull() | (x < 0) | (x >= node_count)), "a link to a node that is not there"),
+        (F.array_contains("neighbors", F.col("id")), "a link to itself"),
+        (F.size(F.array_distinct("neighbors")) < F.size("neighbors"), "a link twice"),
+    ]
+    fault = F.coalesce(*[F.when(wrong, F.lit(name)) for wrong, name in faults])
+    return graph.select("id", "layer", fault.alias("fault")).where("fault is not null")
+
+
+def edited(graph: DataFrame, edits: DataFrame, node_count: int, m: int) -> DataFrame:
+    """`graph` (id, layer, neighbors) with the rows of `edits` in place of its own, or beside them: links that may not
+    be written are left out, the first of each stays, and a row keeps as many as its layer's cap."""
+    cap = F.when(F.col("layer") == 0, max_neighbors(0, m)).otherwise(max_neighbors(1, m))
+    good = F.array_distinct(F.filter("neighbors", lambda x: x.isNotNull() & (x >= 0) & (x < node_count) & (x != F.col("id"))))
+    new = edits.where((F.col("id") >= 0) & (F.col("id") < node_count)).select("id", "layer", F.slice(good, 1, cap).alias("neighbors"))
+    return graph.select("id", "layer", "neighbors").join(new, ["id", "layer"], "left_anti").unionByName(new)
+
+
 def degree_stats(graph: DataFrame) -> DataFrame:
     """layer, nodes, links, mean_degree, max_degree of a graph (layer, src, dst)."""
     per = graph.groupBy("layer", "src").agg(F.count("*").alias("degree"))

@@ -29,12 +29,6 @@ def single(base: DataFrame, query: list[float], k: int, metric: str = "euclidean
     return top.select(F.row_number().over(Window.orderBy("d", "id")).alias("rank"), "id", F.col("d").cast("float").alias("distance"))  # k rows
 
 
-def batch_sql(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """The readable form of batch search, for small inputs: every pair, then the first k of each query."""
-    pairs = base.crossJoin(queries.select("query_id", F.col("embedding").alias("q"))).select("query_id", "id", distance(metric, F.col("embedding"), F.col("q")).alias("d"))
-    return _ranked(pairs, k)
-
-
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id")).alias("rank")
     return pairs.select("query_id", rank, "id", F.col("d").cast("float").alias("distance")).where(F.col("rank") <= k)

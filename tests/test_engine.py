@@ -1,8 +1,10 @@
 """Functions, search, graph operators, store and facade of the vector index."""
 
+import gc
 import json
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone import __version__
+from lodestone import __version__, index
 from lodestone.errors import CorruptIndexError, DimensionMismatchError, IndexLockedError, IndexNotFoundError, InvalidPathError, LodestoneError, OutOfBoundsError
 from lodestone.functions import distance as fn
 from lodestone.functions import sizing
@@ -19,7 +21,7 @@ from lodestone.operators import ann, graph, knn
 from lodestone.plans.runtime import Scratch, ship
 from lodestone.schema import IndexOptions
 from lodestone.sources.store import Store, dense_ids
-from lodestone.streaming.ingest import ingest
+from lodestone.streaming.ingest import append_batch, ingest
 
 VECTOR = "id long, embedding array<float>"
 
@@ -120,7 +122,8 @@ def test_other_metrics(spark, metric):
     x[3] = 0
     df = frame(spark, x)
     fast = knn.batch(asking(df), df, 5, metric).orderBy("query_id", "rank").collect()
-    plain = knn.batch_sql(asking(df), df, 5, metric).orderBy("query_id", "rank").collect()
+    pairs = df.crossJoin(df.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))).select("query_id", "id", fn.distance(metric, F.col("embedding"), F.col("q")).alias("d"))
+    plain = knn._ranked(pairs, 5).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"]) for r in fast] == [(r["query_id"], r["rank"]) for r in plain]
     assert [r["distance"] for r in fast] == pytest.approx([r["distance"] for r in plain], abs=1e-6)
 
@@ -182,12 +185,13 @@ def test_sharded_search_recall(spark, scratch):
     q = asking(frame(spark, rng.normal(size=(60, 16))))
     truth = knn.batch(q, v, 10)
     for shards in (1, 3):
-        g = scratch.save(ann.build_graph(v, IndexOptions(), shards), "graph")
+        per = -(-800 // shards)
+        g = scratch.save(ann.build_graph(v, IndexOptions(), per), "graph")
         sizes = g.groupBy("id", "layer").agg(F.max(F.size("neighbors")).alias("n")).collect()
         assert all(r["n"] <= (32 if r["layer"] == 0 else 16) for r in sizes)
-        low, high = (ann.recall(ann.search(q, v, g, 10, IndexOptions(ef_search=ef), shards), truth).first()["recall"] for ef in (10, 50))
+        low, high = (ann.recall(ann.search(q, v, g, 10, IndexOptions(ef_search=ef), 800, per), truth).first()["recall"] for ef in (10, 50))
         assert high >= 0.95 and high >= low
-    assert ann.search(q, v, g, 0, IndexOptions(), 3).count() == 0
+    assert ann.search(q, v, g, 0, IndexOptions(), 800).count() == 0
 
 
 def test_search_terminates_on_cycles_and_sees_only_what_is_there():
@@ -198,6 +202,32 @@ def test_search_terminates_on_cycles_and_sees_only_what_is_there():
     assert ann.Graph.of(np.arange(0), x[:0], [], 4).search(np.array([0.0, 0.0]), 3, 5) == []
 
 
+def test_a_graph_that_grows_equals_one_built_at_once(spark, scratch):
+    v = frame(spark, np.random.default_rng(8).normal(size=(500, 8)))
+    options = IndexOptions(max_connections=4, ef_construction=30)
+    once = {(r["id"], r["layer"]): r["neighbors"] for r in ann.build_graph(v, options, 200).collect()}
+    old = scratch.save(ann.build_graph(v.where("id < 250"), options, 200), "old")
+    grown = ann.build_graph(v, options, 200, 0, 250, old).collect()
+    assert {r["id"] for r in grown} == set(range(200, 500))  # the full shard is left alone
+    kept = {(r["id"], r["layer"]): r["neighbors"] for r in old.where("id < 200").collect()}
+    assert kept | {(r["id"], r["layer"]): r["neighbors"] for r in grown} == once
+
+
+def test_rows_that_the_layout_does_not_allow(spark):
+    rows = [(0, 0, [1, 2]), (1, 0, [1]), (2, 0, [9]), (3, 0, [0, 0]), (4, 16, [0]), (5, 1, [0, 1, 2]), (6, 0, None), (-1, 0, [0]), (7, 0, [-1])]
+    bad = graph.graph_violations(spark.createDataFrame(rows, "id long, layer int, neighbors array<long>"), 8, 2, 16).collect()
+    assert sorted(r["id"] for r in bad) == [-1, 1, 2, 3, 4, 5, 6, 7]
+    edits = spark.createDataFrame([(0, 0, [0, 3, 3, 99, 4, 5, 6, 7]), (99, 0, [1])], "id long, layer int, neighbors array<long>")
+    got = {(r["id"], r["layer"]): r["neighbors"] for r in graph.edited(spark.createDataFrame(rows[:2], "id long, layer int, neighbors array<long>"), edits, 8, 2).collect()}
+    assert got == {(0, 0): [3, 4, 5, 6], (1, 0): [1]}
+
+
+def test_draws_of_any_id(spark):
+    ids = [0, 7, 2**31 - 1, 2**31, 9 * 10**9, 2**62]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select(sizing.uniform(F.col("id")).alias("u")).collect()
+    assert [r["u"] for r in got] == [sizing.uniform_of(i) for i in ids]
+
+
 # --- store and facade
 
 
@@ -300,6 +330,77 @@ def test_recovery(spark, tmp_path):
         VectorIndex(spark, path, 2)
 
 
+def test_the_lock_of_a_dead_writer_runs_out(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    VectorIndex(spark, path, 2).close()
+    lock = tmp_path / "ix" / "writer.lock"
+    lock.write_text(json.dumps({"owner": "gone", "until": time.time() + 2}))
+    with pytest.raises(IndexLockedError, match="already open"):
+        VectorIndex(spark, path, 2)
+    time.sleep(2.1)
+    with VectorIndex(spark, path, 2, lease=1.5) as ix:
+        time.sleep(2)  # renewed meanwhile
+        with pytest.raises(IndexLockedError):
+            VectorIndex(spark, path, 2)
+        ix.add([1, 1])
+        for crc in (tmp_path / "ix").glob(".writer.lock*"):
+            crc.unlink()
+        lock.write_text(json.dumps({"owner": "thief", "until": time.time() + 1}))
+        with pytest.raises(IndexLockedError, match="taken"):
+            ix.flush()  # fenced off
+    assert lock.exists()  # another's lock is left alone
+    time.sleep(1.1)
+    lost = VectorIndex(spark, path, 2, lease=0.6)
+    assert len(lost) == 0
+    del lost  # a handle that is never closed
+    gc.collect()
+    time.sleep(0.8)
+    VectorIndex(spark, path, 2).close()
+    assert not lock.exists()
+
+
+def test_a_graph_grows_with_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 20)
+    x = np.random.default_rng(5).normal(size=(50, 4)).astype(np.float32)
+    with VectorIndex(spark, str(tmp_path / "ix"), 4, IndexOptions(max_connections=4)) as ix:
+        for lo, hi in ((0, 10), (10, 35), (35, 50)):
+            ix.add_batch(x[lo:hi])
+            with pytest.raises(LodestoneError, match="no graph"):
+                ix.search(x[0], 1, mode="ann")
+            ix.flush(graph=True)
+            ix.check()
+            asked = frame(spark, x[:hi].tolist()).selectExpr("id as query_id", "embedding")
+            assert {r["query_id"]: r["id"] for r in ix.search_batch(asked, 1, "ann").collect()} == {i: i for i in range(hi)}
+        assert sorted(r["id"] for r in ix.graph().where("layer = 0").collect()) == list(range(50))
+        assert ix.neighbors(0) and ix.neighbors(0, 15) == []
+        assert [a for _, a in ix._store.manifest.graphs] == [0, 20]  # the third flush took over the last shards only
+        ix.flush(graph=True)  # nothing new
+    with VectorIndex(spark, str(tmp_path / "ix"), 4, IndexOptions(max_connections=4), read_only=True) as ix:
+        assert [r.id for r in ix.search(x[49], 1, mode="ann")] == [49]
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    """A batch that comes again after a crash between commit and stream changes nothing; a failed one leaves nothing."""
+    rows = frame(spark, [[i, i] for i in range(5)])
+    with VectorIndex(spark, str(tmp_path / "ix"), 2) as ix:
+        assert append_batch(ix, rows, 0, "s", ["id"])
+    with VectorIndex(spark, str(tmp_path / "ix"), 2) as ix:
+        assert not append_batch(ix, rows, 0, "s", ["id"]) and len(ix) == 5
+        with pytest.raises(DimensionMismatchError):
+            append_batch(ix, frame(spark, [[1.0]]), 1, "s", ["id"])
+        assert len(ix) == 5 and append_batch(ix, rows, 1, "s", ["id"]) and append_batch(ix, rows, 0, "other", ["id"])
+        assert len(ix) == 15 and ix.last_batch("s") == 1
+
+
+def test_what_add_buffers_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUFFER", 8)
+    with VectorIndex(spark, str(tmp_path / "ix"), 2) as ix:
+        assert ix.add_batch(np.arange(20).reshape(10, 2)) == range(0, 10) and len(ix._buffer) < 4
+        assert [ix.add([i, 0]) for i in range(5)] == list(range(10, 15)) and len(ix._buffer) < 4
+        ix.flush()
+        assert [r["embedding"][0] for r in ix.vectors().orderBy("id").collect()] == [*range(0, 20, 2), *range(5)]
+
+
 def test_streaming_ingest(spark, tmp_path):
     source = str(tmp_path / "in")
     frame(spark, [[i, i] for i in range(20)]).write.parquet(source)

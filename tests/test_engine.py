@@ -334,27 +334,26 @@ def test_the_lock_of_a_dead_writer_runs_out(spark, tmp_path):
     path = str(tmp_path / "ix")
     VectorIndex(spark, path, 2).close()
     lock = tmp_path / "ix" / "writer.lock"
-    lock.write_text(json.dumps({"owner": "gone", "until": time.time() + 2}))
+    lock.write_text(json.dumps({"owner": "gone", "until": time.time() + 60}))
     with pytest.raises(IndexLockedError, match="already open"):
         VectorIndex(spark, path, 2)
-    time.sleep(2.1)
-    with VectorIndex(spark, path, 2, lease=1.5) as ix:
-        time.sleep(2)  # renewed meanwhile
+    lock.write_text(json.dumps({"owner": "gone", "until": time.time() - 1}))
+    with VectorIndex(spark, path, 2, lease=6) as ix:
+        time.sleep(7)  # renewed meanwhile
         with pytest.raises(IndexLockedError):
             VectorIndex(spark, path, 2)
         ix.add([1, 1])
         for crc in (tmp_path / "ix").glob(".writer.lock*"):
             crc.unlink()
-        lock.write_text(json.dumps({"owner": "thief", "until": time.time() + 1}))
+        lock.write_text(json.dumps({"owner": "thief", "until": time.time() - 1}))
         with pytest.raises(IndexLockedError, match="taken"):
             ix.flush()  # fenced off
     assert lock.exists()  # another's lock is left alone
-    time.sleep(1.1)
-    lost = VectorIndex(spark, path, 2, lease=0.6)
+    lost = VectorIndex(spark, path, 2, lease=1)
     assert len(lost) == 0
     del lost  # a handle that is never closed
     gc.collect()
-    time.sleep(0.8)
+    time.sleep(2)
     VectorIndex(spark, path, 2).close()
     assert not lock.exists()
 

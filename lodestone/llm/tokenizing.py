@@ -93,17 +93,16 @@ class Cached:
         """The values of distinct chunks, in their order."""
         out = list(map(self.young.get, chunks))
         missing = []
-        for i, v in enumerate(out):
+        for i in [i for i, v in enumerate(out) if v is None]:
+            c = chunks[i]
+            v = self.hot.get(c)
             if v is None:
-                c = chunks[i]
-                v = self.hot.get(c)
+                v = self.old.get(c)
                 if v is None:
-                    v = self.old.get(c)
-                    if v is None:
-                        missing.append(i)
-                        continue
-                    self.young[c] = v
-                out[i] = v
+                    missing.append(i)
+                    continue
+                self.young[c] = v
+            out[i] = v
         if missing:
             fresh = [chunks[i] for i in missing]
             for i, c, v in zip(missing, fresh, self.fill(fresh), strict=True):

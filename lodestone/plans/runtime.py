@@ -52,27 +52,37 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder in place of recomputation.
 
-    A lost executor then costs a read, not the lineage. `release` deletes what was written; call it once
-    nothing reads the frames any more.
+    A lost executor then costs a read, not the lineage. `release` deletes what was written, `forget` the tables of
+    one name; call them once nothing reads the frames any more.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[str, list[str]] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df`, and return it as read back."""
         path = f"{self.root}/{self.n:03d}-{name}"
         self.n += 1
+        self.paths.setdefault(name, []).append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
+    def _delete(self, name: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
+    def forget(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                self._delete(path)
+
+    def release(self) -> None:
+        self._delete(self.root)
+
 
 def finished(df: DataFrame, scratch: Scratch, keep: Scratch | None = None) -> DataFrame:
     """`df` as a table written to `keep` (one of its own, if none); what `scratch` holds goes."""

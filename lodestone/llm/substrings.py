@@ -2,18 +2,26 @@
 
 An edge of the graph is a window of k words. Windows are never shuffled one by one: each belongs to the least
 seed (a shorter run of words) within it, so equal windows meet at equal seeds, and the consecutive windows of a
-text under one seed form a path. A seed met once holds no repeat. A seed whose occurrences all carry the same
-path does not branch: the path repeats as a whole, compacted. Only where paths differ under a seed are they
-taken apart into windows, read again from the source coordinates of one occurrence of each. A seed's hash only
-brings paths together; what says that paths or windows are the same is BLAKE2b over their words.
+text under one seed form a path, named by BLAKE2b over its words. A seed met once holds no repeat. Paths are the
+nodes of the compacted graph, each with the path that follows it in its text. Where a repeated path is always
+followed by the same one, which always follows it, the two compact; joins that double their reach compact whole
+chains into unitigs. Only paths that occur once, under a seed that others share, are taken apart into windows, read
+again from their source coordinates.
+
+At last every span that a unitig marks is read at its source coordinates and its words are held, by SHA-256, to those
+of the unitig's other spans. Should two differ, all is done again under another salt.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.batches import column, slices
 from lodestone.llm.words import U, Words, lanes, mix, run_digests
@@ -21,6 +29,9 @@ from lodestone.plans.runtime import Scratch
 
 K = 35
 SEED = 8
+SPANS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("unitig", "d1", "d2")]))
+#: Salts to try, and doublings of a chain's reach (2**40 paths).
+SALTS, DOUBLINGS = 4, 40
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -36,7 +47,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def seed_paths(w: Words, k: int, seed: int) -> tuple[np.ndarray, ...]:
+def seed_paths(w: Words, k: int, seed: int, salt: int = 0) -> tuple[np.ndarray, ...]:
     """The paths of a batch: text, seed hash, the two halves of the path's digest, first window (counted in its
     text), windows. The digest is of the path's words and of the place of the seed among them."""
     none = (np.zeros(0, np.int64),) * 6
@@ -50,26 +61,32 @@ def seed_paths(w: Words, k: int, seed: int) -> tuple[np.ndarray, ...]:
     low = low[window]
     head = np.flatnonzero(np.concatenate([[True], (np.diff(window) != 1) | (np.diff(low) != 0)]))
     start, n, place = window[head], np.diff(np.concatenate([head, [len(window)]])), low[head]
-    path = lanes(w.spans(start, start + n + k - 1))
+    path = lanes(w.spans(start, start + n + k - 1, salt))
     first = mix(path[:, 0] + (place - start).astype(U))
     text = w.text[start]
     return text, hashes[place].view(np.int64), first.view(np.int64), path[:, 1].copy().view(np.int64), start - w.first[text], n
 
 
-def paths(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """doc_id, tkey (a hash of the text), seed, path, path2, start, n for every path of every text."""
+def paths(docs: DataFrame, k: int, seed: int, salt: int) -> DataFrame:
+    """tid, seed, path, path2, after, start, n for every path of every text, and doc_id and tkey (a hash of the text) at
+    each text's first. tid numbers texts; after is the path that follows, 0 at a text's end."""
 
     def run(batches):
+        tid = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            text, s, p, q, start, n = seed_paths(Words(column(batch, "text")), k, seed)
-            take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(take), column(batch, "tkey").take(take), *(pa.array(x, pa.int64()) for x in (s, p, q)), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "tkey", "seed", "path", "path2", "start", "n"])
+            text, s, p, q, start, n = seed_paths(Words(column(batch, "text")), k, seed, salt)
+            after = np.zeros(len(text), np.int64)
+            after[:-1] = np.where(text[1:] == text[:-1], p[1:], 0)
+            take = pa.array(text, pa.int64(), mask=start > 0)
+            cols = [column(batch, "doc_id").take(take), column(batch, "tkey").take(take), *(pa.array(x, pa.int64()) for x in (text + tid, s, p, q, after)), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tkey", "tid", "seed", "path", "path2", "after", "start", "n"])
+            tid += batch.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, seed long, path long, path2 long, start int, n int")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, tid long, seed long, path long, path2 long, after long, start int, n int")
 
 
-def path_windows(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def path_windows(docs: DataFrame, asked: DataFrame, k: int, salt: int) -> DataFrame:
     """edge, j, and the digest (window, window2) of every window of the paths asked for (doc_id, tkey, asked list)."""
 
     def run(batches):
@@ -82,7 +99,7 @@ def path_windows(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             row = np.repeat(np.arange(len(text)), n)
             j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = (w.first[text] + start)[row] + j
-            d = lanes(w.spans(at, at + k)).view(np.int64)
+            d = lanes(w.spans(at, at + k, salt)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(edge[row]), pa.array(j, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["edge", "j", "window", "window2"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").alias("d").join(asked.alias("a"), F.expr("d.doc_id <=> a.doc_id and d.tkey = a.tkey"))
@@ -93,32 +110,66 @@ def pc_lengths(lists: pa.ListArray) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy())
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED) -> DataFrame:
-    """doc_id, tkey, marks: for each text with repeats, longs of which the low 32 bits mark the repeated windows
-    among the 32 from the window that the high bits number."""
-    seed = max(min(seed, k), k - 31)  # a path has at most k - seed + 1 windows, a mark 32 bits
-    every = scratch.save(paths(docs, k, seed), "paths")
+def unitigs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """edge, unitig, off, total of every repeated path among `nodes` (edge, path, next, c, n): the first path of its
+    chain, the windows before it there, and the windows of the whole chain.
+
+    Two paths compact where the one is followed by the other alone (next), and they occur equally often, so that
+    nothing else precedes that. Each join then doubles the reach of the pointers to what comes before.
+    """
+    after = nodes.where("next is not null").select(F.col("edge").alias("before"), F.col("next").alias("path"), F.col("n").alias("step"), F.col("c"))
+    linked = nodes.select("edge", "path", "n", "c").join(after, ["path", "c"], "left").where("before is null or before != edge")
+    chain = scratch.save(linked.select("edge", "n", F.coalesce("before", "edge").alias("unitig"), F.coalesce("step", F.lit(0)).cast("long").alias("off"), F.col("before").isNull().alias("done")), "chain")
+    for _ in range(DOUBLINGS):
+        if chain.where("not done").isEmpty():
+            break
+        back = chain.select(F.col("edge").alias("unitig"), F.col("unitig").alias("u"), F.col("off").alias("o"), F.col("done").alias("d"))
+        moved = chain.where("not done").join(back, "unitig").select("edge", "n", F.col("u").alias("unitig"), (F.col("off") + F.col("o")).alias("off"), F.col("d").alias("done"))
+        chain = scratch.save(moved.union(chain.where("done")), "chain")
+    total = chain.groupBy("unitig").agg(F.max(F.col("off") + F.col("n")).alias("total"))
+    return chain.select("edge", "unitig", "off").join(total, "unitig")
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED, salt: int = 0) -> DataFrame:
+    """doc_id, tkey, marks: for each text with repeats, an array of what repeats there. A mark says that the windows
+    from `at` on do, `n` of them as unitig says, or, where unitig is null, those of the 32 from `at` whose bit is set."""
+    seed = max(min(seed, k), k - 31)  # a path has at most k - seed + 1 windows, a mark's bits 32
+    every = scratch.save(paths(docs, k, seed, salt), "paths")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("path", "path2") for f in (F.min, F.max)]
     seeds = every.groupBy("seed").agg(F.count("*").alias("c"), *ends).where("c > 1")
     # written first, so that the join deals both sides anew and can split a seed that a third of all paths have
     seeds = scratch.save(seeds.select("seed", F.expr("min_path != max_path or min_path2 != max_path2").alias("branches")), "seeds")
-    met = scratch.save(every.join(seeds, "seed"), "met")
+    texts = scratch.save(every.where("start = 0").select("tid", "doc_id", "tkey"), "texts")
+    met = scratch.save(every.join(seeds, "seed").select("tid", "seed", "path", "path2", "after", "start", "n", "branches"), "met")
+    scratch.forget("paths", "seeds")
+
     same = ["seed", "path", "path2"]
-    edges = met.where("branches").groupBy(*same).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "n")])
+    follow = [F.min("after").alias("next"), F.max("after").alias("other")]
+    edges = met.groupBy(*same).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "branches")], F.min(F.struct("tid", "start")).alias("source"), *follow)
+    edges = edges.withColumn("next", F.expr("if(next = other and next != 0, next, null)")).drop("other")
     edges = scratch.save(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")  # unique as written
-    asked = edges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("edge", "start", "n")).alias("asked"))
-    windows = scratch.save(path_windows(docs, asked, k), "windows")
-    # a window repeats if two paths hold it; a path met twice repeats whole
+
+    # what occurs once may still hold windows that other paths under its seed hold
+    sources = edges.where("branches").select("source.tid", F.struct("edge", "source.start", "n").alias("a")).groupBy("tid").agg(F.collect_list("a").alias("asked"))
+    asked = sources.join(texts, "tid").groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("asked")).alias("asked"))
+    windows = scratch.save(path_windows(docs, asked, k, salt), "windows")
     twice = windows.groupBy("window", "window2").agg(F.min("edge").alias("lo"), F.max("edge").alias("hi")).where("lo != hi").select("window", "window2")
     twice = scratch.save(twice, "twice")
-    marked = windows.join(twice, ["window", "window2"]).groupBy("edge").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
-    full = F.expr("shiftleft(1L, n) - 1")
-    bits = edges.join(marked, "edge", "left").select(*same, F.when(F.col("c") > 1, full).otherwise(F.col("bits")).alias("bits")).where("bits is not null")
-    word = lambda b: (F.shiftleft(F.col("start").cast("long"), 32) + b).alias("mark")
+    bits = windows.join(twice, ["window", "window2"]).groupBy("edge").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
     bits = scratch.save(bits, "bits")
-    branching = met.where("branches").join(bits, same).select("doc_id", "tkey", word(F.col("bits")))
-    plain = met.where("not branches").select("doc_id", "tkey", word(full))
-    return plain.union(branching).groupBy("doc_id", "tkey").agg(F.collect_set("mark").alias("marks"))
+    scratch.forget("windows", "twice")
+
+    chains = unitigs(edges.where("c > 1").select("edge", "path", "next", "c", "n"), scratch)
+    known = edges.join(chains, "edge", "left").join(bits, "edge", "left").where("c > 1 or bits is not null")
+    known = scratch.save(known.select(*same, "unitig", "off", "total", F.when(F.col("c") == 1, F.col("bits")).alias("bits")), "known")
+    scratch.forget("chain", "edges", "bits")
+    at = F.when(F.col("unitig").isNull(), F.col("start")).otherwise(F.col("start") - F.col("off")).cast("int").alias("at")
+    mark = F.struct(at, F.col("total").cast("int").alias("n"), "unitig", "bits")
+    marked = met.join(known, same).select("tid", mark.alias("mark")).groupBy("tid").agg(F.collect_set("mark").alias("marks"))
+    marked = marked.join(texts, "tid").groupBy("doc_id", "tkey").agg(F.first("marks").alias("marks"))  # wholly equal rows have equal marks
+    marked = scratch.save(marked, "marks")
+    scratch.forget("met", "known", "texts")
+    return marked
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SEED) -> DataFrame:
@@ -132,24 +183,45 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SE
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)])
-    marks = repeated_windows(plain.select("doc_id", "text"), scratch, k, seed)
+    for salt in range(SALTS):
+        done = scratch.save(_removed(plain, repeated_windows(plain.select("doc_id", "text"), scratch, k, seed, salt), k), "removed")
+        scratch.forget("marks")
+        held = done.select(F.explode("spans").alias("s")).groupBy("s.unitig").agg(*[f(f"s.{c}").alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)])
+        if held.where("min_d1 != max_d1 or min_d2 != max_d2").isEmpty():
+            return done.drop("spans").toDF(*names, "n_words", "n_removed", "kept_text")
+        scratch.forget("removed")
+    raise RuntimeError(f"different words had one digest under {SALTS} salts")
+
+
+def _removed(plain: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """`plain` with n_words, n_removed, kept_text, and spans: each unitig that marked words, with a digest of those."""
     rows = plain.withColumn("tkey", F.xxhash64("text")).alias("d").join(marks.alias("m"), F.expr("d.doc_id <=> m.doc_id and d.tkey = m.tkey"), "left")
     rows = rows.select(*[f"d.{c}" for c in plain.columns], "m.marks")
-
     carried = plain.columns
+    span = pa.struct([("unitig", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches):
         bit = np.arange(32)
         for batch in slices(batches):
-            n_words, n_removed, kept = [], [], []
+            n_words, n_removed, kept, spans = [], [], [], []
             for text, marks in zip(column(batch, "text").to_pylist(), column(batch, "marks"), strict=True):
                 words = (text or "").encode("utf-8").split()
                 n_words.append(len(words))
+                found = []
                 if marks.is_valid and len(marks.values):
-                    m = marks.values.to_numpy()
-                    on = ((m[:, None] >> bit) & 1).astype(bool)
-                    first = ((m >> 32)[:, None] + bit)[on]
+                    at, n, unitig, bits = (marks.values.field(i) for i in range(4))
                     cover = np.zeros(len(words) + 1, np.int64)
+                    whole = unitig.is_valid().to_numpy(zero_copy_only=False)
+                    at = at.to_numpy()
+                    first, last = at[whole], at[whole] + n.drop_null().to_numpy() + k - 1
+                    for u, a, b in zip(unitig.drop_null().to_pylist(), first.tolist(), last.tolist(), strict=True):
+                        d = np.frombuffer(hashlib.sha256(b" ".join(words[a:b])).digest()[:16], np.int64)
+                        found.append({"unitig": u, "d1": int(d[0]), "d2": int(d[1])})
+                    np.add.at(cover, first, 1)
+                    np.add.at(cover, last, -1)
+                    own = at[~whole]
+                    on = ((bits.drop_null().to_numpy()[:, None] >> bit) & 1).astype(bool)
+                    first = (own[:, None] + bit)[on]
                     np.add.at(cover, first, 1)
                     np.add.at(cover, first + k, -1)
                     gone = np.cumsum(cover)[:-1] > 0
@@ -158,7 +230,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = K, seed: int = SE
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carried), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*carried, "n_words", "n_removed", "kept_text"])
+                spans.append(found)
+            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span))]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carried), *new], [*carried, "n_words", "n_removed", "kept_text", "spans"])
 
-    schema = plain.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    return rows.mapInArrow(run, schema).toDF(*names, "n_words", "n_removed", "kept_text")
+    new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("spans", SPANS)]
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, kind) for c, kind in new]])
+    return rows.mapInArrow(run, schema)

@@ -39,8 +39,8 @@ def lanes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), U).reshape(-1, 2)
 
 
-def digest(data: bytes | memoryview) -> bytes:
-    return blake2b(data, digest_size=16).digest()
+def digest(data: bytes | memoryview, salt: int = 0) -> bytes:
+    return blake2b(data, digest_size=16, salt=salt.to_bytes(16, "little")).digest()
 
 
 def word_digests(words: list[bytes]) -> np.ndarray:
@@ -146,7 +146,7 @@ class Words:
         codes, words = self.codes()
         return word_digests(words)[codes]
 
-    def spans(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    def spans(self, first: np.ndarray, last: np.ndarray, salt: int = 0) -> list[bytes]:
         """Digests of the words from `first` to before `last` of each run, one blank between words: of the words
         themselves, whatever stood between them."""
         held = self.inside.copy()
@@ -157,7 +157,7 @@ class Words:
         a = (ends - (self.end - self.start + 1))[first].tolist()
         b = (ends[last - 1] - 1).tolist()
         view = memoryview(data)
-        return [digest(view[i:j]) for i, j in zip(a, b, strict=True)]
+        return [digest(view[i:j], salt) for i, j in zip(a, b, strict=True)]
 
     def sums(self, per_word: np.ndarray) -> np.ndarray:
         """Sum of a value per word, by text."""

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import components, minhash, quality, substrings, words
 
@@ -55,6 +56,36 @@ def test_repeats_go(rows, docs, scratch, k):
     assert got == Counter((d, *x, 8) for (d, *_), x in zip(rows, removed([t for _, t, _ in rows], k), strict=True))
 
 
+def test_chains_compact_to_unitigs(spark, scratch):
+    """One passage in three texts is one unitig, whole; where a fourth text shares half of it, it splits in two."""
+    passage = [f"p{i}" for i in range(300)]
+    texts = [[*(f"{c}{i}" for i in range(50)), *passage, *(f"{c}{i}" for i in range(50, 100))] for c in "abc"]
+    marks = lambda rows: [m for r in substrings.repeated_windows(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string"), scratch).collect() for m in r["marks"]]
+    whole = marks(texts)
+    spans = Counter(m["n"] for m in whole if m["unitig"] is not None)
+    assert max(spans) >= 300 - 34 - 2 * 28 and sum(spans.values()) == 3
+    assert len({m["unitig"] for m in whole if m["unitig"] is not None}) == 1
+    split = marks([*texts, [*(f"d{i}" for i in range(50)), *passage[:150]]])
+    assert len({m["unitig"] for m in split if m["unitig"] is not None}) == 2
+
+
+def test_equal_digests_of_other_words_are_found_out(spark, scratch, monkeypatch):
+    """With a digest that under the first salt is one for all, spans don't verify, and the next salt gives the result."""
+    texts = [" ".join(f"{c}{i % 7}" for i in range(60)) for c in "ab"] + [" ".join(f"c{i}" for i in range(60))] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    real = substrings.paths
+
+    def weak(docs, k, seed, salt):
+        seen.append(salt)
+        out = real(docs, k, seed, salt)
+        return out if salt else out.withColumns({"seed": F.lit(1).cast("long"), "path": F.lit(2).cast("long"), "path2": F.lit(3).cast("long")})
+
+    monkeypatch.setattr(substrings, "paths", weak)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs, scratch).collect()}
+    assert got == {i: n for i, (_, n, _) in enumerate(removed(texts, 35))} and seen == [0, 1]
+
+
 def test_no_documents(empty, scratch):
     assert substrings.remove_repeats(empty, scratch).count() == 0
     assert minhash.near_duplicates(empty, scratch).count() == 0

@@ -50,11 +50,6 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
 
 
-def unrolled_euclidean(a: str, b: str, dimensions: int) -> Column:
-    """euclidean() for a known, small number of dimensions: one arithmetic expression, inside generated code."""
-    return F.sqrt(F.expr(" + ".join(f"pow(double({a}[{i}]) - double({b}[{i}]), 2)" for i in range(dimensions))))
-
-
 def matrix_distances(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact distances of each row of q to each row of b, in double precision."""
     q, b = q.astype(np.float64), b.astype(np.float64)
@@ -73,45 +68,80 @@ def matrix_distances(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(norms == 0, 1.0, 1 - product / np.where(norms == 0, 1, norms))
 
 
+#: Rows of each side whose distances are held at once.
+QUERIES_AT_ONCE, BASE_AT_ONCE = 256, 8192
+
+
+def pair_distances(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distance of each row of q to the same row of b, by the formula that matrix_distances has."""
+    if metric == "euclidean":
+        gap = b - q
+        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    product = np.einsum("ij,ij->i", q, b)
+    if metric == "dot":
+        return -product
+    norms = np.linalg.norm(q, axis=1) * np.linalg.norm(b, axis=1)
+    return np.where(norms == 0, 1.0, 1 - product / np.where(norms == 0, 1, norms))
+
+
+def _rough(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers that order pairs as their distances do, but for rounding."""
+    if metric == "euclidean":
+        return (q * q).sum(1)[:, None] + (b * b).sum(1) - 2 * (q @ b.T)
+    if metric == "dot":
+        return -(q @ b.T)
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+    return np.where(norms == 0, 1.0, 1 - (q @ b.T) / np.where(norms == 0, 1, norms))
+
+
 def nearest(metric: str, q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, id, distance) of the k nearest of each row, by (distance, id); NaN distances come last.
 
-    Squared distances by the product trick pick candidates, with room for its cancellation error; the exact
-    formula ranks them. `allowed` masks pairs.
+    Block by block, matrix products propose what may be among the k, with room for their rounding error; the exact
+    formula ranks the proposed pairs. `allowed` masks pairs.
     """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if not len(q) or not len(b) or k < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return none
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     q, b = q.astype(np.float64), b.astype(np.float64)
-    finite = np.isfinite(q).all() and np.isfinite(b).all()
-    rows, out_id, out_d = [], [], []
-    if metric == "euclidean" and finite:
-        nb = (b * b).sum(1)
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            rough = (part * part).sum(1)[:, None] + nb - 2 * (part @ b.T)
-            slack = 1e-12 * ((part * part).sum(1) + nb.max())
-            for i in range(len(part)):
-                usable = np.arange(len(b)) if allowed is None else np.flatnonzero(allowed[a + i])
-                if not len(usable):
-                    continue
-                r = rough[i, usable]
-                if len(usable) > k:
-                    usable = usable[r <= np.partition(r, k - 1)[k - 1] + slack[i]]
-                d = b[usable] - part[i]
-                d = np.sqrt(np.einsum("ij,ij->i", d, d))
-                order = np.lexsort((ids[usable], d))[:k]
-                rows.append(np.full(len(order), a + i))
-                out_id.append(ids[usable][order])
-                out_d.append(d[order])
-    else:
-        for a in range(0, len(q), 64):
-            d = matrix_distances(metric, q[a : a + 64], b)
-            for i in range(len(d)):
-                usable = np.arange(len(b)) if allowed is None else np.flatnonzero(allowed[a + i])
-                order = usable[np.lexsort((ids[usable], d[i, usable]))[:k]]
-                rows.append(np.full(len(order), a + i))
-                out_id.append(ids[order])
-                out_d.append(d[i, order])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not (np.isfinite(q).all() and np.isfinite(b).all()):
+        return _nearest_of_any(metric, q, b, ids, k, allowed)
+    largest = (b * b).sum(1).max()
+    found = []
+    for a in range(0, len(q), QUERIES_AT_ONCE):
+        part = q[a : a + QUERIES_AT_ONCE]
+        slack = 1e-12 * (1 + (part * part).sum(1) + largest)
+        bound = np.full(len(part), np.inf)
+        held = []
+        for c in range(0, len(b), BASE_AT_ONCE):
+            rough = _rough(metric, part, b[c : c + BASE_AT_ONCE])
+            if allowed is not None:
+                rough[~allowed[a : a + QUERIES_AT_ONCE, c : c + BASE_AT_ONCE]] = np.inf
+            if rough.shape[1] >= k:
+                bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+            i, j = np.nonzero((rough <= bound[:, None]) & (rough < np.inf))
+            held.append((i, j + c, rough[i, j]))
+        i, j, rough = (np.concatenate(x) for x in zip(*held, strict=True))
+        near = rough <= bound[i]
+        i, j = i[near], j[near]
+        d = pair_distances(metric, part[i], b[j])
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((i[place < k] + a, ids[j[place < k]], d[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _nearest_of_any(metric: str, q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() where some numbers are not finite: every distance by the exact formula."""
+    rows, out_id, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i in range(len(q)):
+        d = matrix_distances(metric, q[i : i + 1], b)[0]
+        usable = np.arange(len(b)) if allowed is None else np.flatnonzero(allowed[i])
+        order = usable[np.lexsort((ids[usable], d[usable]))[:k]]
+        rows.append(np.full(len(order), i))
+        out_id.append(ids[order])
+        out_d.append(d[order])
     return np.concatenate(rows), np.concatenate(out_id), np.concatenate(out_d)

@@ -46,14 +46,17 @@ def diverse(base_d: np.ndarray, vectors: np.ndarray, max_count: int, limit: int
     first = np.arange(min(n, limit or candidate_limit(max_count)))
     key = np.where(np.isnan(base_d[first]), np.inf, base_d[first])
     order = first[np.argsort(key, kind="stable")].tolist()
-    x = vectors.astype(np.float64)
-    taken: list[int] = []
-    for c in order:
-        if len(taken) == max_count:
+    x = vectors[order].astype(np.float64)
+    gaps = x[:, None] - x[None, :]
+    apart = np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps)).tolist()  # a bounded number of candidates
+    near, places = base_d[order].tolist(), []
+    for c in range(len(order)):
+        if len(places) == max_count:
             break
-        gap = x[taken] - x[c]
-        if not taken or not (np.sqrt(np.einsum("ij,ij->i", gap, gap)) < base_d[c]).any():
-            taken.append(c)
+        row, own = apart[c], near[c]
+        if not any(row[t] < own for t in places):
+            places.append(c)
+    taken = [order[c] for c in places]
     if len(taken) < max_count / 2:
         taken += [c for c in order if c not in taken][: max_count - len(taken)]
     if priority is not None and priority not in taken and priority in order[:max_count]:

@@ -105,6 +105,19 @@ def knn_batch_sql(spark, sf_dir):
     return shown(knn.batch(asking(v), v, 5))
 
 
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS id, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100]::FLOAT[]::DOUBLE[] AS v FROM lineitem),
+    p AS (SELECT q.id AS query_id, min({{'d': {_D['euclidean']}, 'id': b.id}}, 10) AS n FROM l q, l b WHERE q.id % 50 = 0 GROUP BY q.id)
+    SELECT query_id, i::INT AS rank, n[i].id AS id, round(n[i].d::FLOAT::DOUBLE, 4) AS distance FROM (SELECT query_id, n, unnest(range(1, len(n) + 1)) AS i FROM p)""")
+def knn_lineitem_l2(spark, sf_dir):
+    """Every fiftieth of the lines as a query against all of them, as vectors of four numbers each."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    x = F.expr("cast(array(l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100) as array<float>)")
+    scratch = Scratch(spark)
+    v = scratch.save(dense_ids(l.select(*order, x.alias("embedding")), 0, order, scratch).select("id", "embedding"), "vectors")
+    return shown(knn.batch(asking(v.where("id % 50 = 0")), v, 10))
+
+
 @query(f"WITH e AS ({_V}), q AS (SELECT v FROM e WHERE id = 0) SELECT row_number() OVER (ORDER BY d, id)::INT AS rank, id, round(d::FLOAT::DOUBLE, 4) AS distance FROM (SELECT b.id, {_D['euclidean']} AS d FROM e b, q)")
 def knn_k_exceeds_n(spark, sf_dir):
     v = vectors(spark, sf_dir)

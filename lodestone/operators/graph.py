@@ -163,7 +163,7 @@ def reachable(links: DataFrame, start: DataFrame, scratch: Scratch, rounds: int
         frontier = scratch.save(step.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hops")), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = scratch.save(seen.union(frontier), "seen")
+        seen = seen.union(frontier)  # tables as written, each hop's once
     raise RuntimeError(f"more than {rounds} hops")
 
 

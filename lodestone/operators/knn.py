@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.distance import distance, nearest
+from lodestone.operators.ids import dense_ids
 
+#: Neighbours of one query that are ranked in one task at most; more are ranked as they are partitioned.
+IN_ONE_TASK = 100_000
 #: Bytes of vectors that may be broadcast, and vectors of one side of a block.
 BROADCAST_BYTES = 64 << 20
 BLOCK = 4096
@@ -25,7 +28,11 @@ def single(base: DataFrame, query: list[float], k: int, metric: str = "euclidean
     if k <= 0:
         return base.select(F.lit(1).alias("rank"), "id", F.lit(0.0).cast("float").alias("distance")).limit(0)
     q = F.lit([float(x) for x in query]).cast("array<double>") if len(query) else F.array().cast("array<double>")
-    top = base.select("id", distance(metric, F.col("embedding"), q).alias("d")).orderBy("d", "id").limit(k)
+    every = base.select("id", distance(metric, F.col("embedding"), q).alias("d"))
+    if k > IN_ONE_TASK:
+        ranked = dense_ids(every.select(F.col("id").alias("vec"), "d"), 1, ["d", "vec"])
+        return ranked.where(F.col("id") <= k).select(F.col("id").cast("int").alias("rank"), F.col("vec").alias("id"), F.col("d").cast("float").alias("distance"))
+    top = every.orderBy("d", "id").limit(k)
     return top.select(F.row_number().over(Window.orderBy("d", "id")).alias("rank"), "id", F.col("d").cast("float").alias("distance"))  # k rows
 
 

@@ -12,9 +12,9 @@ from lodestone.functions import sizing
 from lodestone.functions.distance import cosine, dot, euclidean, norm
 from lodestone.index import VectorIndex
 from lodestone.operators import ann, graph, knn
+from lodestone.operators.ids import dense_ids
 from lodestone.plans.runtime import Scratch, ship
 from lodestone.schema import MAX_LAYERS, IndexOptions, violations
-from lodestone.sources.store import dense_ids
 
 M = 16
 #: A small M, so that the diversity rule shows on small tables.
@@ -387,9 +387,11 @@ def graph_faults(spark, sf_dir):
     return graph.graph_violations(rows, n, M, MAX_LAYERS).select("id", "fault")
 
 
-@query(f"WITH RECURSIVE {_BOTH}, g AS (SELECT src, count(*) AS degree FROM links GROUP BY src) SELECT 0 AS layer, count(*) AS nodes, sum(degree)::BIGINT AS links, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree FROM g")
+@query(f"WITH RECURSIVE {_BOTH}, {_selected('links_c', 2 * SMALL_M, 'pruned')}, g AS (SELECT src, count(*) AS degree FROM pruned GROUP BY src) SELECT 0 AS layer, count(*) AS nodes, sum(degree)::BIGINT AS links, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree FROM g")
 def degree_stats(spark, sf_dir):
-    return graph.degree_stats(graph.back_links(_forward(spark, sf_dir)[1]).withColumn("layer", F.lit(0)))
+    """Degrees of the links that nodes keep."""
+    v, forward = _forward(spark, sf_dir)
+    return graph.degree_stats(graph.pruned(graph.back_links(forward), v, 0, SMALL_M).withColumn("layer", F.lit(0)))
 
 
 @query(f"WITH RECURSIVE {_BOTH}, seen(id) AS (SELECT id FROM (SELECT id FROM ({_LAYERS}) ORDER BY layer DESC, id LIMIT 1) UNION SELECT dst FROM seen JOIN links ON links.src = seen.id) SELECT id FROM seen")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import CorruptIndexError, DimensionMismatchError, IndexLockedError, IndexNotFoundError, InvalidPathError, LodestoneError, OutOfBoundsError
 from lodestone.operators.graph import graph_violations
+from lodestone.operators.ids import dense_ids
 from lodestone.plans.runtime import Scratch
 from lodestone.schema import GRAPH, MAX_LAYERS, VECTORS, IndexOptions, check_dimensions, require_dimensions
 
@@ -240,8 +241,9 @@ class Store:
         return self.spark.read.schema(VECTORS).parquet(*[f"{self.root}/{v}" for v in self.manifest.vectors])
 
     def _reconcile(self) -> None:
-        """Fewer rows than committed is corruption; rows beyond are ghosts, which vectors() leaves out."""
-        if self._rows().where(F.col("id") < self.manifest.node_count).count() < self.manifest.node_count:
+        """Fewer rows than committed is corruption; what lies in other directories are ghosts, which nobody reads. The
+        files' footers have the counts."""
+        if self._rows().count() < self.manifest.node_count:
             raise CorruptIndexError("corruption: the manifest commits to more vectors than the directories hold")
 
     def vectors(self) -> DataFrame:
@@ -305,23 +307,4 @@ class Store:
         self.manifest = manifest
 
 
-def dense_ids(rows: DataFrame, start: int = 0, order: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Rows with ids start, start + 1, ... in the order of the columns `order`, or as the partitions stand.
-
-    Rows are range-sorted and written with their partition and place in it; a count per partition then gives
-    each its first id. No task sees more than its partition.
-    """
-    scratch = scratch or Scratch(rows.sparkSession)
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order) if order else rows
-    mono = F.monotonically_increasing_id()
-    placed = scratch.save(ranged.withColumn("__mono", mono), "placed").withColumn("__pid", F.shiftright("__mono", 33)).withColumn("__at", F.col("__mono").bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("__pid").count().collect()  # a row per partition
-    first, at = [], start
-    for r in sorted(counts, key=lambda r: r["__pid"]):
-        first.append((r["__pid"], at))
-        at += r["count"]
-    base = F.broadcast(rows.sparkSession.createDataFrame(first, "__pid long, __first long"))
-    return placed.join(base, "__pid").select((F.col("__first") + F.col("__at")).alias("id"), *[F.col(f"`{c}`") for c in rows.columns])
-
-
 __all__ = ["GRAPH", "Files", "Manifest", "Store", "dense_ids"]

@@ -115,6 +115,14 @@ def test_single_ties_limits_and_nan(spark):
     assert knn.batch(q, df, 0).count() == 0 and knn.batch(q, df.limit(0), 3).count() == 0
 
 
+def test_many_neighbours_of_one_query_are_ranked_in_parts(spark, monkeypatch):
+    v = frame(spark, [[i * 7 % 50, 0.0] for i in range(200)])
+    want = [tuple(r) for r in knn.single(v, [3.0, 0.0], 150).orderBy("rank").collect()]
+    monkeypatch.setattr(knn, "IN_ONE_TASK", 10)
+    assert [tuple(r) for r in knn.single(v, [3.0, 0.0], 150).orderBy("rank").collect()] == want and len(want) == 150
+    assert knn.single(v, [3.0, 0.0], 999).count() == 200
+
+
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
 def test_other_metrics(spark, metric):
     rng = np.random.default_rng(1)

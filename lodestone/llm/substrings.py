@@ -145,12 +145,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, k: int = K, seed: int =
 
     same = ["seed", "path", "path2"]
     follow = [F.min("after").alias("next"), F.max("after").alias("other")]
-    edges = met.groupBy(*same).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "branches")], F.min(F.struct("tid", "start")).alias("source"), *follow)
+    edges = met.groupBy(*same).agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "branches", "tid", "start")], *follow)
     edges = edges.withColumn("next", F.expr("if(next = other and next != 0, next, null)")).drop("other")
     edges = scratch.save(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")  # unique as written
 
     # what occurs once may still hold windows that other paths under its seed hold
-    sources = edges.where("branches").select("source.tid", F.struct("edge", "source.start", "n").alias("a")).groupBy("tid").agg(F.collect_list("a").alias("asked"))
+    sources = edges.where("branches").select("tid", F.struct("edge", "start", "n").alias("a")).groupBy("tid").agg(F.collect_list("a").alias("asked"))
     asked = sources.join(texts, "tid").groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("asked")).alias("asked"))
     windows = scratch.save(path_windows(docs, asked, k, salt), "windows")
     twice = windows.groupBy("window", "window2").agg(F.min("edge").alias("lo"), F.max("edge").alias("hi")).where("lo != hi").select("window", "window2")
@@ -198,25 +198,22 @@ def _removed(plain: DataFrame, marks: DataFrame, k: int) -> DataFrame:
     rows = plain.withColumn("tkey", F.xxhash64("text")).alias("d").join(marks.alias("m"), F.expr("d.doc_id <=> m.doc_id and d.tkey = m.tkey"), "left")
     rows = rows.select(*[f"d.{c}" for c in plain.columns], "m.marks")
     carried = plain.columns
-    span = pa.struct([("unitig", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches):
         bit = np.arange(32)
         for batch in slices(batches):
-            n_words, n_removed, kept, spans = [], [], [], []
+            n_words, n_removed, kept, ends, names, digests = [], [], [], [0], [], []
             for text, marks in zip(column(batch, "text").to_pylist(), column(batch, "marks"), strict=True):
                 words = (text or "").encode("utf-8").split()
                 n_words.append(len(words))
-                found = []
                 if marks.is_valid and len(marks.values):
                     at, n, unitig, bits = (marks.values.field(i) for i in range(4))
                     cover = np.zeros(len(words) + 1, np.int64)
                     whole = unitig.is_valid().to_numpy(zero_copy_only=False)
                     at = at.to_numpy()
                     first, last = at[whole], at[whole] + n.drop_null().to_numpy() + k - 1
-                    for u, a, b in zip(unitig.drop_null().to_pylist(), first.tolist(), last.tolist(), strict=True):
-                        d = np.frombuffer(hashlib.sha256(b" ".join(words[a:b])).digest()[:16], np.int64)
-                        found.append({"unitig": u, "d1": int(d[0]), "d2": int(d[1])})
+                    names.append(unitig.drop_null().to_numpy())
+                    digests += [hashlib.sha256(b" ".join(words[a:b])).digest()[:16] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                     np.add.at(cover, first, 1)
                     np.add.at(cover, last, -1)
                     own = at[~whole]
@@ -230,8 +227,11 @@ def _removed(plain: DataFrame, marks: DataFrame, k: int) -> DataFrame:
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words))
-                spans.append(found)
-            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span))]
+                ends.append(len(digests))
+            d = lanes(digests).view(np.int64)
+            held = [np.concatenate([*names, np.zeros(0, np.int64)]), d[:, 0].copy(), d[:, 1].copy()]
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in held], ["unitig", "d1", "d2"]))
+            new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), spans]
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carried), *new], [*carried, "n_words", "n_removed", "kept_text", "spans"])
 
     new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("spans", SPANS)]

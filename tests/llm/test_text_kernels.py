@@ -3,6 +3,7 @@
 import base64
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -315,6 +316,68 @@ def test_cutoffs_hold_only_where_labels_prove_them(spark, scratch):
     assert all(kept for i, kept in got.items() if i >= 5000)
 
 
+def plain_verdicts(rows, labels):
+    """kept by doc_id, all in plain Python: measures, halves, ladders, exact tests with whole numbers."""
+    def values(t):
+        t = t or ""
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n, chars, symbols, dup, twice = measured(t)
+        count = lambda chars_: sum(t.count(c) for c in chars_)
+        upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        punct = count([chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "#*$%&|<>"])
+        return [symbols / max(len(words), 1), dup / max(len(lines), 1), twice / max(n, 1), chars / max(n, 1), upper / max(chars, 1), punct / max(chars, 1)], n < 10 or 100 * twice > 20 * n
+
+    cuts = [c for _, c in quality.RULES.values()]
+    seen = {i: (*values(t), g) for i, t, g in rows}
+    halves = {}
+    for i, q in labels:
+        v, failed, g = seen[i]
+        if not failed:
+            halves.setdefault(g, ([], []))[zlib.crc32(f"holdout {i}".encode()) % 2].append((q, v))
+    tail = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    steps = {}
+    for g, (propose, _) in halves.items():
+        good, bad = ([v for q, v in propose if q == w] for w in (1, 0))
+        steps[g] = [[-1] * len(cuts)]
+        for i in range(quality.STEPS):
+            step = []
+            for r, c in enumerate(cuts):
+                over = [(sum(v[r] > x for v in good), sum(v[r] > x for v in bad)) for x in c]
+                worth = [b / max(len(bad), 1) - quality.PRICE * a / max(len(good), 1) for a, b in over]
+                room = quality.ALPHA * len(good) * i / (quality.STEPS - 1)
+                best = max((j for j in range(len(c)) if over[j][0] <= room), key=lambda j: worth[j], default=-1)
+                step.append(max(steps[g][-1][r], best) if best >= 0 and worth[best] > 0 else steps[g][-1][r])
+            steps[g].append(step)
+    rejects = lambda v, step: any(j >= 0 and v[r] > cuts[r][j] for r, j in enumerate(step))
+    tested = [g for g in steps if any(j >= 0 for j in steps[g][-1])]
+    used = {}
+    for g in tested:
+        held = [v for q, v in halves[g][1] if q == 1]
+        for step in steps[g][1:]:
+            if tail(sum(rejects(v, step) for v in held), len(held), quality.ALPHA) > quality.DELTA / len(tested):
+                break
+            used[g] = step
+    return {i: not failed and not (g in used and rejects(v, used[g])) for i, (v, failed, g) in seen.items()}, used
+
+
+def test_verdicts_equal_plain_python(spark, scratch):
+    """Learnt cutoffs and all, at the default alpha and delta, with several rules at work in each language."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(3000):
+        good, lang = rng.random() < 0.8, rng.choice(["en", "fr", None])
+        odd = rng.random() ** (30 if good else 1.2)
+        word = lambda: rng.choice([f"w{rng.randrange(4000)}", f"W{rng.randrange(900)}," if rng.random() < odd else f"v{rng.randrange(4000)}", "##" if rng.random() < odd else f"x{rng.randrange(4000)}"])  # noqa: B023, E731
+        lines = [" ".join(word() for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(2, 8))]
+        rows.append((i, "\n".join(lines + (lines[:2] if rng.random() < odd / 2 else [])), lang))
+        if i < 2700:
+            labels.append((i, int(good)))
+    want, used = plain_verdicts(rows, labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"), scratch.save).collect()
+    assert used and {r["doc_id"]: r["kept"] for r in got} == want
+
+
 def test_quality_of_awkward_documents(docs, empty, rows, spark, scratch):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, labels, scratch.save).collect()

@@ -204,7 +204,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     def run(batches):
         codec, seen, pid = word_codec(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, limit=8 * SLICE_BYTES):
+        for batch in slices(batches, limit=2 * SLICE_BYTES):
             ids, at = codec.encode(column(batch, "text").fill_null(""))
             raw = ids.astype("<u4").tobytes()
             row, piece, start, length, crc = [], [], [], [], []

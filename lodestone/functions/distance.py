@@ -119,9 +119,11 @@ def nearest(metric: str, q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int,
             rough = _rough(metric, part, b[c : c + BASE_AT_ONCE])
             if allowed is not None:
                 rough[~allowed[a : a + QUERIES_AT_ONCE, c : c + BASE_AT_ONCE]] = np.inf
-            if rough.shape[1] >= k:
+            near = (rough <= bound[:, None]) & (rough < np.inf)
+            if rough.shape[1] >= k and np.count_nonzero(near) > 4 * k * len(part):  # the first block, and where nearer ones come late
                 bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
-            i, j = np.nonzero((rough <= bound[:, None]) & (rough < np.inf))
+                near &= rough <= bound[:, None]
+            i, j = np.nonzero(near)
             held.append((i, j + c, rough[i, j]))
         i, j, rough = (np.concatenate(x) for x in zip(*held, strict=True))
         near = rough <= bound[i]

@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _lock = threading.Lock()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
-    Python workers then import the kernels by name, wherever the driver was started from.
+    Python workers then import the kernels by name, wherever the driver was started from. Rows go to them in smaller
+    batches than Spark's default, which whole texts make heavy, unless the session has set its own size.
     """
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "2000")
     app = spark.sparkContext.applicationId
     with _lock:
         if app in _shipped:

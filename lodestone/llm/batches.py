@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a kernel works on at once (one longer text makes a slice of its own).
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a kernel works on at once (one longer text makes a slice of its own); of words, whose arrays are
+#: many times as large, fewer.
+SLICE_BYTES, WORDS_BYTES = 1 << 20, 1 << 19
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where it can be told to: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,6 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+        give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

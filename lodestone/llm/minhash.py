@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import column, slices
+from lodestone.llm.batches import WORDS_BYTES, column, slices
 from lodestone.llm.components import UnionFind, connected
 from lodestone.llm.words import U, Words, digest, lanes, mix, run_codes, run_digests, word_digests
 from lodestone.plans.runtime import Scratch
@@ -142,7 +142,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, tkey, n_shingles, fp1, fp2 (a fingerprint of the set), keys (of bands) and bits for each row."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             sets = Shingles(column(batch, "text"), width)
             count, both = sets.count, sets.digests()
             sig = superminhash(both[:, 0].copy(), count, bands * rows)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.batches import column, slices
+from lodestone.llm.batches import WORDS_BYTES, column, slices
 from lodestone.llm.words import U, Words, lanes, mix, run_digests
 from lodestone.plans.runtime import Scratch
 
@@ -73,7 +73,7 @@ def paths(docs: DataFrame, k: int, seed: int, salt: int) -> DataFrame:
 
     def run(batches):
         tid = TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             text, s, p, q, start, n = seed_paths(Words(column(batch, "text")), k, seed, salt)
             after = np.zeros(len(text), np.int64)
             after[:-1] = np.where(text[1:] == text[:-1], p[1:], 0)
@@ -90,7 +90,7 @@ def path_windows(docs: DataFrame, asked: DataFrame, k: int, salt: int) -> DataFr
     """edge, j, and the digest (window, window2) of every window of the paths asked for (doc_id, tkey, asked list)."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             w = Words(column(batch, "text"))
             want = column(batch, "asked")
             text = np.repeat(np.arange(len(want)), pc_lengths(want))
@@ -117,8 +117,8 @@ def unitigs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     Two paths compact where the one is followed by the other alone (next), and they occur equally often, so that
     nothing else precedes that. Each join then doubles the reach of the pointers to what comes before.
     """
-    after = nodes.where("next is not null").select(F.col("edge").alias("before"), F.col("next").alias("path"), F.col("n").alias("step"), F.col("c"))
-    linked = nodes.select("edge", "path", "n", "c").join(after, ["path", "c"], "left").where("before is null or before != edge")
+    after = nodes.where("next is not null and next != path").select(F.col("edge").alias("before"), F.col("next").alias("path"), F.col("n").alias("step"), F.col("c"))
+    linked = nodes.select("edge", "path", "n", "c").join(after, ["path", "c"], "left")
     chain = scratch.save(linked.select("edge", "n", F.coalesce("before", "edge").alias("unitig"), F.coalesce("step", F.lit(0)).cast("long").alias("off"), F.col("before").isNull().alias("done")), "chain")
     for _ in range(DOUBLINGS):
         if chain.where("not done").isEmpty():
@@ -126,6 +126,8 @@ def unitigs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         back = chain.select(F.col("edge").alias("unitig"), F.col("unitig").alias("u"), F.col("off").alias("o"), F.col("done").alias("d"))
         moved = chain.where("not done").join(back, "unitig").select("edge", "n", F.col("u").alias("unitig"), (F.col("off") + F.col("o")).alias("off"), F.col("d").alias("done"))
         chain = scratch.save(moved.union(chain.where("done")), "chain")
+    else:
+        raise RuntimeError("paths follow each other in a circle")
     total = chain.groupBy("unitig").agg(F.max(F.col("off") + F.col("n")).alias("total"))
     return chain.select("edge", "unitig", "off").join(total, "unitig")
 
@@ -201,7 +203,7 @@ def _removed(plain: DataFrame, marks: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         bit = np.arange(32)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             n_words, n_removed, kept, ends, names, digests = [], [], [], [0], [], []
             for text, marks in zip(column(batch, "text").to_pylist(), column(batch, "marks"), strict=True):
                 words = (text or "").encode("utf-8").split()

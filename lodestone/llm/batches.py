@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that a kernel works on at once (one longer text makes a slice of its own); of words, whose arrays are
 #: many times as large, fewer.
-SLICE_BYTES, WORDS_BYTES = 1 << 20, 1 << 19
+SLICE_BYTES, WORDS_BYTES = 1 << 20, 1 << 18
+_busy: list[tuple[str, Callable[[], None]]] = []
 
 
 def give_back() -> None:
@@ -22,6 +23,15 @@ def give_back() -> None:
         trim(0)
 
 
+def working(kind: str, forget: Callable[[], None]) -> None:
+    """Say at a task's start what kind of kernel it runs and how to drop what that keeps from task to task. A worker that
+    last ran another kind drops that one's: the stages of a pipeline share workers, and only one runs at a time."""
+    if _busy and _busy[-1][0] != kind:
+        _busy.pop()[1]()
+    if not _busy:
+        _busy.append((kind, forget))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each cut together take about `limit` bytes."""
     for batch in batches:

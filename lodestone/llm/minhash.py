@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import WORDS_BYTES, column, slices
+from lodestone.llm.batches import WORDS_BYTES, column, slices, working
 from lodestone.llm.components import UnionFind, connected
-from lodestone.llm.words import U, Words, digest, lanes, mix, run_codes, run_digests, word_digests
+from lodestone.llm.words import U, Words, digest, forget, lanes, mix, run_codes, run_digests, word_digests
 from lodestone.plans.runtime import Scratch
 
 #: Bands x rows: at similarity 0.8 a pair misses every band with probability (1 - 0.8**6)**40 = 5e-6.
@@ -25,8 +25,8 @@ AGREE = 193
 #: Turns in which each node is tried against one hub; what they leave apart is tried in full.
 STARS = 2
 #: Members of a bucket that one block holds of each of its two chunks.
-CHUNK = 1024
-_BLOCK = 1 << 16
+CHUNK = 512
+_BLOCK = 1 << 14
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -142,6 +142,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, tkey, n_shingles, fp1, fp2 (a fingerprint of the set), keys (of bands) and bits for each row."""
 
     def run(batches):
+        working("words", forget)
         for batch in slices(batches, limit=WORDS_BYTES):
             sets = Shingles(column(batch, "text"), width)
             count, both = sets.count, sets.digests()
@@ -162,6 +163,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """The pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
 
     def run(batches):
+        working("words", forget)
         for batch in slices(batches, "text_a", 1 << 19):
             n = batch.num_rows
             sets = Shingles(pa.concat_arrays([column(batch, "text_a"), column(batch, "text_b")]), width)  # codes of both sides agree
@@ -329,6 +331,7 @@ def _rest(members: DataFrame, facts: DataFrame, comps: DataFrame, texts: DataFra
     left = scratch.save(grouped.mapInArrow(likely, "key long, i int, j int, node long, comp long"), "likely")
 
     def links(batches):
+        working("words", forget)
         for t, cut in _complete(batches):
             comp, node, text = t.column("comp").to_numpy(), t.column("node").to_numpy(), t.column("text").combine_chunks()
             out = [p for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False) for p in _block_links(text.slice(lo, hi - lo), comp[lo:hi], node[lo:hi], width, percent)]

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import SLICE_BYTES, column, slices
-from lodestone.llm.tokenizing import word_codec
+from lodestone.llm.batches import SLICE_BYTES, column, slices, working
+from lodestone.llm.tokenizing import forget, word_codec
 from lodestone.plans.runtime import Scratch
 
 #: (groups, large): how many groups the large lengths fall in, large being those over size / large. Rounding up
@@ -202,6 +202,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     task (pid)."""
 
     def run(batches):
+        working("tokens", forget)
         codec, seen, pid = word_codec(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, limit=2 * SLICE_BYTES):

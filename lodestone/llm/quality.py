@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import WORDS_BYTES, slices
-from lodestone.llm.words import Words, coded, run_codes
+from lodestone.llm.batches import WORDS_BYTES, slices, working
+from lodestone.llm.words import Words, coded, forget, run_codes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 SYMBOL = np.zeros(256, bool)
@@ -105,6 +105,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     names = carry if "text" in carry else [*carry, "text"]
 
     def run(batches):
+        working("words", forget)
         for batch in slices(batches, limit=WORDS_BYTES):
             m = measure_texts(batch.column(names.index("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carry), *(pa.array(m[k]) for k in MEASURES)], [*carry, *MEASURES])

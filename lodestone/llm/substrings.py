@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.batches import WORDS_BYTES, column, slices
-from lodestone.llm.words import U, Words, lanes, mix, run_digests
+from lodestone.llm.batches import WORDS_BYTES, column, slices, working
+from lodestone.llm.words import U, Words, forget, lanes, mix, run_digests
 from lodestone.plans.runtime import Scratch
 
 K = 35
@@ -72,6 +72,7 @@ def paths(docs: DataFrame, k: int, seed: int, salt: int) -> DataFrame:
     each text's first. tid numbers texts; after is the path that follows, 0 at a text's end."""
 
     def run(batches):
+        working("words", forget)
         tid = TaskContext.get().partitionId() << 33
         for batch in slices(batches, limit=WORDS_BYTES):
             text, s, p, q, start, n = seed_paths(Words(column(batch, "text")), k, seed, salt)
@@ -90,6 +91,7 @@ def path_windows(docs: DataFrame, asked: DataFrame, k: int, salt: int) -> DataFr
     """edge, j, and the digest (window, window2) of every window of the paths asked for (doc_id, tkey, asked list)."""
 
     def run(batches):
+        working("words", forget)
         for batch in slices(batches, limit=WORDS_BYTES):
             w = Words(column(batch, "text"))
             want = column(batch, "asked")
@@ -202,6 +204,7 @@ def _removed(plain: DataFrame, marks: DataFrame, k: int) -> DataFrame:
     carried = plain.columns
 
     def run(batches):
+        working("words", forget)
         bit = np.arange(32)
         for batch in slices(batches, limit=WORDS_BYTES):
             n_words, n_removed, kept, ends, names, digests = [], [], [], [0], [], []

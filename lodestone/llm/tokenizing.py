@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import SLICE_BYTES, column, slices
+from lodestone.llm.batches import SLICE_BYTES, column, slices, working
 
 #: White space as the tokenizers' patterns know it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -250,6 +250,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, hot_entries: int
     hot = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, path, hot_entries) if chunked else {})
 
     def count(batches):
+        working("tokens", forget)
         whole = _whole_counts(path)
         if chunked:
             fill = byte_fill(path)
@@ -391,6 +392,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ids share one where a character is split). A null text is empty; other columns are ignored."""
 
     def run(batches):
+        working("tokens", forget)
         c = codec(path, pattern)
         for batch in slices(batches):
             ids, at = c.encode(column(batch, "text").fill_null(""))
@@ -406,6 +408,7 @@ def decode_ids(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     begins or ends inside one, text has U+FFFD there and decoded the bytes. Null ids give null."""
 
     def run(batches):
+        working("tokens", forget)
         c = codec(path, pattern)
         for batch in batches:
             rows = column(batch, "ids").to_pylist()
@@ -423,6 +426,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
+        working("tokens", forget)
         c = codec(path, pattern)
         for batch in slices(batches):
             ids, at = c.encode(column(batch, "text").fill_null(""))
@@ -470,3 +474,9 @@ class WordCodec:
 @lru_cache(maxsize=2)
 def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
+
+
+def forget() -> None:
+    """Drop the tokenizers and caches that a worker keeps."""
+    for kept in (library, byte_fill, rank_tokenizer, codec, word_codec):
+        kept.cache_clear()

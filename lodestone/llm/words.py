@@ -20,10 +20,15 @@ LOWER[65:91] += 32
 #: Odd multipliers of the two lanes that digests of runs have.
 LANES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 #: Words whose digests a worker keeps.
-KEPT = 200_000
+KEPT = 60_000
 _known: dict[bytes, bytes] = {}
 
 
+def forget() -> None:
+    """Drop the digests that a worker keeps."""
+    _known.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     h = h ^ (h >> U(30))

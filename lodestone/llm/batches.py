@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 #: Bytes of text that a kernel works on at once (one longer text makes a slice of its own); of words, whose arrays are
 #: many times as large, fewer.
 SLICE_BYTES, WORDS_BYTES = 1 << 20, 1 << 18
+#: Bytes of batches after which freed memory is returned, and at a task's end.
+HOLD_BYTES = 1 << 25
 _busy: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -34,6 +36,7 @@ def working(kind: str, forget: Callable[[], None]) -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each cut together take about `limit` bytes."""
+    done = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -47,7 +50,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
-        give_back()
+        done += batch.nbytes
+        if done > HOLD_BYTES:
+            give_back()
+            done = 0
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

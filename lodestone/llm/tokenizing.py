@@ -37,7 +37,7 @@ ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 #: What every special token of the public files begins with.
 MARK = "<|"
 #: Distinct chunks that a worker keeps; beyond, it starts afresh.
-CACHE = 80_000
+CACHE = 300_000
 #: Entries of the table of frequent chunks at most; documents that it is drawn from, about; and chunks that one of
 #: those may name.
 HOT = 200_000

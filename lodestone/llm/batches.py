@@ -46,8 +46,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         ends = np.cumsum(size)
         at = 0
         while at < n:
-            done = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            before = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
         done += batch.nbytes

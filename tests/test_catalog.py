@@ -16,7 +16,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    for table in ("embeddings", "lineitem"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     want = con.sql(catalog.ORACLES[name])
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())

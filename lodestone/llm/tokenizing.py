@@ -92,21 +92,19 @@ class Cached:
     def values(self, chunks: list[str]) -> list:
         """The values of distinct chunks, in their order."""
         out = list(map(self.young.get, chunks))
-        missing = []
-        for i in [i for i, v in enumerate(out) if v is None]:
-            c = chunks[i]
-            v = self.hot.get(c)
-            if v is None:
-                v = self.old.get(c)
-                if v is None:
-                    missing.append(i)
-                    continue
-                self.young[c] = v
-            out[i] = v
+        missing = [i for i, v in enumerate(out) if v is None]
         if missing:
-            fresh = [chunks[i] for i in missing]
-            for i, c, v in zip(missing, fresh, self.fill(fresh), strict=True):
-                out[i] = self.young[c] = v
+            names = [chunks[i] for i in missing]
+            found = [None] * len(names)
+            for tier in (self.hot, self.old):
+                if tier:
+                    found = [tier.get(c) if v is None else v for c, v in zip(names, found, strict=True)]
+            fresh = [c for c, v in zip(names, found, strict=True) if v is None]
+            made = iter(self.fill(fresh) if fresh else ())
+            found = [next(made) if v is None else v for v in found]
+            self.young.update(zip(names, found, strict=True))
+            for i, v in zip(missing, found, strict=True):
+                out[i] = v
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return out

@@ -38,18 +38,29 @@ class UnionFind:
         return True
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """u, v: fewer edges (a, b) of the same components, each node's to the least that its batch of edges leads to."""
+#: Nodes that one task joins before it lets go of them, and edges of a forest that one task takes in all.
+HELD, FEW = 500_000, 200_000
+
+
+def forest(edges: DataFrame, every: bool = False) -> DataFrame:
+    """u, v: fewer edges (a, b) of the same components, each node's to the least that the edges of its task lead to (of HELD
+    nodes at a time). With `every`, a least node's to itself as well."""
+
+    def rows(groups: UnionFind) -> pa.RecordBatch:
+        u = np.array(list(groups.parent), np.int64)
+        v = np.array([groups.find(x) for x in u.tolist()], np.int64)
+        own = u != v if not every else np.ones(len(u), bool)
+        return pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(v[own])], ["u", "v"])
 
     def run(batches):
+        groups = UnionFind()
         for batch in batches:
-            groups = UnionFind()
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 groups.join(a, b)
-            u = np.array(list(groups.parent), np.int64)
-            v = np.array([groups.find(x) for x in u.tolist()], np.int64)
-            own = u != v
-            yield pa.RecordBatch.from_arrays([pa.array(u[own]), pa.array(v[own])], ["u", "v"])
+            if len(groups.parent) > HELD and not every:
+                yield rows(groups)
+                groups = UnionFind()
+        yield rows(groups)
 
     return edges.select("a", "b").mapInArrow(run, "u long, v long")
 
@@ -57,11 +68,15 @@ def forest(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """node, comp for every node of `edges` (a, b: longs, a != b): comp is the least node reachable.
 
-    Union-find reduces the edges of each batch to a forest. Then each round points every node's greater
-    neighbours, and its lesser ones, to its least neighbour, until nothing moves: a number of rounds logarithmic in
-    the nodes. Neighbours are never gathered; a hub's are joined to its least, and a skewed join splits them.
+    Union-find reduces the edges of each task to a forest. A forest of FEW edges at most goes through one task. Of a larger
+    one, each round points every node's greater neighbours, and its lesser ones, to its least neighbour, until nothing
+    moves: a number of rounds logarithmic in the nodes. Neighbours are never gathered; a hub's are joined to its least,
+    and a skewed join splits them.
     """
-    now = scratch.save(forest(edges).distinct(), "edges")
+    now = scratch.save(forest(edges), "edges")
+    if now.count() <= FEW:
+        ends = now.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)
+        return scratch.save(forest(ends, every=True), "few").select(F.col("u").alias("node"), F.col("v").alias("comp"))
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -217,3 +217,14 @@ def test_components_of_a_chain_and_a_star(spark, scratch):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
     got = {r["node"]: r["comp"] for r in components.connected(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1200)}
+
+
+def test_few_edges_are_joined_without_rounds_and_many_in_rounds(spark, scratch, monkeypatch):
+    edges = [(x + 1, x) for x in range(300)] + [(900 + x, 1000 - x) for x in range(40)] + [(5000, 4000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = {x: 0 for x in range(301)} | {x: min(x, 1900 - x) for e in edges[300:340] for x in e} | {4000: 4000, 5000: 4000}
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        before = scratch.n
+        assert {r["node"]: r["comp"] for r in components.connected(df, scratch).collect()} == want
+        assert (scratch.n - before <= 2) == (few > 0)
